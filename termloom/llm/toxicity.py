@@ -32,7 +32,7 @@ from . import _vec as V
 from ._spark import batch, held_out, table
 
 MAX_LEXICON = 100_000
-MIN_Z, MIN_ROWS, PRIOR = 5.0, 4, 50.0
+MIN_Z, MIN_ROWS, PRIOR = 3.5, 4, 0.01
 OTHER = -0.05
 SIGNIFICANT = 0.0
 CUT = 0.7
@@ -188,11 +188,11 @@ def train(labelled: DataFrame, min_z: float = MIN_Z, min_rows: float = MIN_ROWS,
     nt, nc = total["t"] or 0.0, total["c"] or 0.0
     empty = np.zeros(0)
     if nt and nc:
-        a = prior * (F.col("t") + F.col("c")) / (nt + nc) * F.lit((nt + nc) / 1e6) + F.lit(0.01)
-        x, y = F.col("t") + F.col("a"), F.col("c") + F.col("a")
-        delta = F.log(x / (nt + prior - x)) - F.log(y / (nc + prior - y))
+        a = prior * (F.col("t") + F.col("c")) + 0.5
+        x, y, a0 = F.col("t") + F.col("a"), F.col("c") + F.col("a"), prior * (nt + nc)
+        delta = F.log(x / (nt + a0 - x)) - F.log(y / (nc + a0 - y))
         scored = counts.where(F.col("t") >= min_rows).withColumn("a", a).select("word", "t", "c", delta.alias("d"), (delta / F.sqrt(1 / x + 1 / y)).alias("z"))
-        got = scored.where((F.col("z") >= min_z) & (F.col("d") > 1)).orderBy(F.col("z").desc(), "word").limit(max_lexicon).toPandas()
+        got = scored.where((F.col("z") >= min_z) & (F.col("d") > 2)).orderBy(F.col("z").desc(), "word").limit(max_lexicon).toPandas()
     else:
         got = None
     if got is None or not len(got):
