@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, toxicity, url_filter
+from . import decontaminate, near_dedup, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op4_benchmark_decontamination": decontaminate.query,
     "op5_url_filters": url_filter.query,
+    "op7_substring_dedup": substring_dedup.query,
+    "op9_minhash_near_dedup": near_dedup.query,
     "op10_toxicity": toxicity.query,
     "pipeline": corpus_pipeline.run,
 }
