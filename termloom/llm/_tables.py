@@ -7,7 +7,6 @@ size is bounded by the folder, not by an executor's memory, and nothing passes t
 
 from __future__ import annotations
 
-import os
 import uuid
 from urllib.parse import urlparse
 
@@ -33,78 +32,87 @@ def _local(uri: str) -> str | None:
     return x.path if x.scheme in ("", "file") else None
 
 
-def store(df: DataFrame, label: str, dtype: np.dtype, value_type: str) -> Table:
-    """Write (key long, value) rows; keys are distinct and taken as unsigned."""
-    spark = df.sparkSession
-    df = materialize(df.select("key", "value"), label + "-rows")
+def store(df: DataFrame, label: str, columns: dict[str, str] | str) -> Table:
+    """Write rows of a ``key`` (long; distinct, taken as unsigned) and value columns of the given numpy types (one type: ``value``)."""
+    if isinstance(columns, str):
+        columns = {"value": columns}
+    spark, names = df.sparkSession, list(columns)
+    df = materialize(df.select("key", *names), label + "-rows")
     bits = max(1, int(np.ceil(np.log2(max(2, df.count() / BUCKET_ROWS)))))
     uri = fresh_dir(spark, label)
     fs, path = open_fs(uri)
     fs.create_dir(path, recursive=True)
-    dtype = np.dtype(dtype)
 
     def write(batches):
         fs, path = open_fs(uri)
-        state: dict = {"bucket": None}
+        bucket, tmp, n, files = None, "", 0, {}
 
         def close():
-            if state["bucket"] is not None:
-                for kind in ("key", "value"):
-                    state[kind].close()
-                    fs.move(f"{path}/{state['tmp']}.{kind}", f"{path}/{state['bucket']}.{kind}")
+            for kind, f in files.items():
+                f.close()
+                fs.move(f"{path}/{tmp}.{kind}", f"{path}/{bucket}.{kind}")
 
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, keys = b.column("bucket").to_numpy(), b.column("key").to_numpy()
-            values = b.column("value").to_numpy(zero_copy_only=False).astype(dtype)
+            ids = b.column("bucket").to_numpy()
+            arrays = {"key": b.column("key").to_numpy()} | {c: b.column(c).to_numpy(zero_copy_only=False).astype(t) for c, t in columns.items()}
             cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
             for s, e in zip(cuts, cuts[1:]):
-                if ids[s] != state["bucket"]:
-                    close()
-                    state = {"bucket": int(ids[s]), "tmp": f".{uuid.uuid4().hex}"}
-                    for kind in ("key", "value"):
-                        state[kind] = fs.open_output_stream(f"{path}/{state['tmp']}.{kind}")
-                state["key"].write(keys[s:e].tobytes())
-                state["value"].write(values[s:e].tobytes())
-        close()
-        yield batch("done", np.zeros(1, np.int64))
-
-    parted = df.select(F.shiftrightunsigned("key", 64 - bits).alias("bucket"), "key", "value").repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "key")
-    parted.mapInArrow(write, "done long").agg(F.count("*")).first()
-    return Table(uri, bits, dtype.str)
+                if ids[s] != bucket:
+                    if bucket is not None:
+                        close()
+                        yield batch("bucket n", np.array([bucket]), np.array([n]))
+                    bucket, tmp, n = int(ids[s]), f".{uuid.uuid4().hex}", 0
+                    files = {kind: fs.open_output_stream(f"{path}/{tmp}.{kind}") for kind in arrays}
+                for kind, x in arrays.items():
+                    files[kind].write(x[s:e].tobytes())
+                n += int(e - s)
+        if bucket is not None:
+            close()
+            yield batch("bucket n", np.array([bucket]), np.array([n]))
+
+    parted = df.select(F.shiftrightunsigned("key", 64 - bits).alias("bucket"), "key", *names).repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "key")
+    counts = np.zeros(1 << bits, np.int64)
+    for r in parted.mapInArrow(write, "bucket long, n long").collect():  # one row a bucket
+        counts[r.bucket] = r.n
+    return Table(uri, bits, columns, counts)
 
 
 class Table:
     """Handle that travels with tasks; files are mapped on first use."""
 
-    def __init__(self, uri: str, bits: int, dtype: str):
-        self.uri, self.bits, self.dtype = uri, bits, dtype
-        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, uri: str, bits: int, columns: dict[str, str], counts: np.ndarray):
+        self.uri, self.bits, self.columns, self.counts = uri, bits, columns, counts
+        self.before = np.cumsum(counts) - counts
+        self._open: dict[tuple[int, str], np.ndarray] = {}
 
     def __getstate__(self):
-        return self.uri, self.bits, self.dtype
+        return self.uri, self.bits, self.columns, self.counts
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _bucket(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self._open:
-            local, types = _local(self.uri), (np.uint64, np.dtype(self.dtype))
-            if local is not None:
-                names = [f"{local}/{k}.{kind}" for kind in ("key", "value")]
-                there = os.path.exists(names[0]) and os.path.getsize(names[0]) > 0
-                got = tuple(np.memmap(n, t, "r") if there else np.zeros(0, t) for n, t in zip(names, types))
-            else:  # no maps there: one bucket is held at a time
+    def __len__(self) -> int:
+        return int(self.counts.sum())
+
+    def _file(self, k: int, kind: str) -> np.ndarray:
+        if (k, kind) not in self._open:
+            local, kind_type = _local(self.uri), np.dtype("u8" if kind == "key" else self.columns[kind])
+            if not self.counts[k]:
+                got = np.zeros(0, kind_type)
+            elif local is not None:
+                got = np.memmap(f"{local}/{k}.{kind}", kind_type, "r")
+            else:  # no maps there: one file is held at a time
                 fs, path = open_fs(self.uri)
                 self._open.clear()
-                got = tuple(np.frombuffer(fs.open_input_stream(f"{path}/{k}.{kind}").readall(), t) if fs.get_file_info(f"{path}/{k}.{kind}").type else np.zeros(0, t) for kind, t in zip(("key", "value"), types))
-            self._open[k] = got
-        return self._open[k]
+                got = np.frombuffer(fs.open_input_stream(f"{path}/{k}.{kind}").readall(), kind_type)
+            self._open[k, kind] = got
+        return self._open[k, kind]
 
-    def lookup(self, keys: np.ndarray, default: int = 0) -> np.ndarray:
-        """Values of unsigned 64-bit keys, ``default`` where there is none."""
-        out = np.full(len(keys), default, self.dtype)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each unsigned 64-bit key in the order of all keys, -1 if it isn't there."""
+        out = np.full(len(keys), -1, np.int64)
         if not len(keys):
             return out
         order = np.argsort(keys)
@@ -112,9 +120,22 @@ class Table:
         edges = np.searchsorted(q >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(edges)):
             a, b = edges[k], edges[k + 1]
-            have, values = self._bucket(int(k))
+            have = self._file(int(k), "key")
             if len(have):
                 slot = np.minimum(np.searchsorted(have, q[a:b]), len(have) - 1)
                 ok = have[slot] == q[a:b]
-                out[order[a:b][ok]] = values[slot[ok]]
+                out[order[a:b][ok]] = self.before[k] + slot[ok]
+        return out
+
+    def values(self, at: np.ndarray, default=0, column: str = "value") -> np.ndarray:
+        """A column at numbers that ``find`` gave."""
+        out = np.full(len(at), default, self.columns[column])
+        bucket = np.searchsorted(self.before, at, "right") - 1
+        for k in np.unique(bucket[at >= 0]):
+            ok = np.flatnonzero((bucket == k) & (at >= 0))
+            out[ok] = self._file(int(k), column)[at[ok] - self.before[k]]
         return out
+
+    def lookup(self, keys: np.ndarray, default=0, column: str = "value") -> np.ndarray:
+        """A column's values at unsigned 64-bit keys, ``default`` where there is none."""
+        return self.values(self.find(keys), default, column)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, near_dedup, substring_dedup, token_output, toxicity, url_filter
+from . import bpe, decontaminate, language_model, near_dedup, substring_dedup, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_token_output": token_output.query,
+    "op2_lm_scoring": language_model.query,
     "op3_bpe": bpe.query,
     "op4_benchmark_decontamination": decontaminate.query,
     "op5_url_filters": url_filter.query,

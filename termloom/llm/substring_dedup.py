@@ -181,7 +181,7 @@ def _kept_text(p: Paths, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows = len(p.first) - 1
     inner = np.zeros(len(k), bool)  # another kept word of the same row follows
     inner[:-1] = doc[k[1:]] == doc[k[:-1]]
-    mark = np.zeros(len(p.data) + 1, np.int8)
+    mark = np.zeros(len(p.data) + 1, "i1")
     mark[p.starts[k]] = 1
     np.add.at(mark, p.ends[k], -1)
     take = np.cumsum(mark[:-1], dtype=np.int8) > 0
@@ -214,17 +214,17 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZ
     known = paths.join(by_key, "key").where("n > 1 or contents > 1")
     full = (F.col("n") > 1) & F.col("agree")
     known = materialize(known.select(F.col("content").alias("key"), "n", "agree", (F.when(full, FULL).otherwise(0) + F.when(F.col("contents") > 1, SINGLE).otherwise(0)).cast("tinyint").alias("value")), "paths")
-    first = store(known.select("key", "value"), "path-flags", np.int8, "tinyint")
+    first = store(known.select("key", "value"), "path-flags", "i1")
     seen = texts.mapInArrow(_windows_and_links(window, minimizer, first), "kind byte, a long, b long, n long, m long")
     seen = materialize(seen, "path-windows")
     windows = seen.where("kind = 0").groupBy("a").agg(F.sum("n").alias("n"), F.max("m").alias("m"), (F.min("b") == F.max("b")).alias("agree"))
-    singles = store(windows.where("n > 1 and m > 0 and agree").select(F.col("a").alias("key"), F.lit(1).cast("tinyint").alias("value")), "windows", np.int8, "tinyint")
+    singles = store(windows.where("n > 1 and m > 0 and agree").select(F.col("a").alias("key"), F.lit(1).cast("tinyint").alias("value")), "windows", "i1")
     spans = compact(seen.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n")), known.where(F.expr(f"value & {FULL} > 0")).select(F.col("key").alias("path"), "n", "agree"))
     spans = materialize(spans, "spans")
     # a path holds if the whole span that it was compacted into does
     held = known.join(spans.select(F.col("path").alias("key"), "verified"), "key", "left")
     value = F.when(F.expr(f"value & {FULL} > 0") & ~F.coalesce("verified", F.lit(False)), F.col("value") - FULL).otherwise(F.col("value"))
-    flags = store(held.select("key", value.cast("tinyint").alias("value")), "span-flags", np.int8, "tinyint")
+    flags = store(held.select("key", value.cast("tinyint").alias("value")), "span-flags", "i1")
     return flags, singles, spans
 
 
