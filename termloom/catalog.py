@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +29,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from termloom import queries as package
+
+    for m in pkgutil.iter_modules(package.__path__):
+        importlib.import_module(f"{package.__name__}.{m.name}")
+
+
 def queries():
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql():
+    _load()
     return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").count()
+    return queries()["term_feature_npmi"](spark, sf_dir)
