@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,7 @@ from termloom.plans.shared import materialize
 
 from . import _vec as V
 from ._spark import batch, held_out, table
+from ._tables import Table, store
 
 MAX_LEXICON = 100_000
 MIN_Z, MIN_ROWS, PRIOR = 3.5, 4, 0.01
@@ -74,25 +76,50 @@ def _group_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _presence(batches):
+def _labelled(batches, labels: Table):
+    """(slice, label) of the rows that have a label; ids are looked up, so that no text is shuffled."""
     for b in V.text_slices(batches):
-        words, first = _hashes(b.column("text"))
-        n = np.diff(first)
-        doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-        order = np.lexsort((words, doc))
-        w, d = words[order], doc[order]
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-        w, d = w[new], d[new].astype(np.int64)
-        weight = b.column("weight").to_numpy(zero_copy_only=False)[d]
-        toxic = b.column("toxic").to_numpy(zero_copy_only=False)[d] == 1
-        u, inv = np.unique(w, return_inverse=True)
-        yield batch("word t c", u.view(np.int64), np.bincount(inv, weight * toxic, len(u)), np.bincount(inv, weight * ~toxic, len(u)))
-
-
-def _keys(batches):
-    for b in V.text_slices(batches):
-        yield batch("row text toxic key", b.column("row"), b.column("text"), b.column("toxic"), _group_keys(*_hashes(b.column("text"))).view(np.int64))
+        ids = b.column("doc_id")
+        label = labels.lookup(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).view(np.uint64), -1)
+        label[~ids.is_valid().to_numpy(zero_copy_only=False)] = -1
+        has = np.flatnonzero(label >= 0)
+        if len(has):
+            yield b.column("text").take(pa.array(has)), label[has]
+
+
+def _group(keys: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    return (keys & ~np.uint64(1)) | (toxic == 1).astype(np.uint64)
+
+
+def _groups(labels: Table):
+    """How many labelled rows share a group key and label."""
+
+    def run(batches):
+        for texts, toxic in _labelled(batches, labels):
+            u, n = np.unique(_group(_group_keys(*_hashes(texts)), toxic), return_counts=True)
+            yield batch("key n", u.view(np.int64), n)
+
+    return run
+
+
+def _presence(labels: Table, sizes: Table):
+    """Weighted numbers of toxic and clean rows that hold a word."""
+
+    def run(batches):
+        for texts, toxic in _labelled(batches, labels):
+            words, first = _hashes(texts)
+            weight = 1.0 / sizes.lookup(_group(_group_keys(words, first), toxic), 1)
+            n = np.diff(first)
+            doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+            order = np.lexsort((words, doc))
+            w, d = words[order], doc[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
+            w, d = w[new], d[new].astype(np.int64)
+            u, inv = np.unique(w, return_inverse=True)
+            yield batch("word t c", u.view(np.int64), np.bincount(inv, weight[d] * (toxic[d] == 1), len(u)), np.bincount(inv, weight[d] * (toxic[d] != 1), len(u)))
+
+    return run
 
 
 def segments(scores: np.ndarray, at: np.ndarray, other: float = OTHER) -> list[tuple[int, int, float]]:
@@ -137,12 +164,12 @@ def passages(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple
     return stat, found
 
 
-def _statistics(model: Model):
+def _statistics(model: Model, labels: Table):
     def run(batches):
-        for b in V.text_slices(batches):
-            stat, _ = passages(b.column("text"), model)
+        for texts, toxic in _labelled(batches, labels):
+            stat, _ = passages(texts, model)
             bins = np.minimum(np.ceil(stat / _BIN), _BINS).astype(np.int64)
-            pairs, n = np.unique(bins * 2 + (b.column("toxic").to_numpy(zero_copy_only=False) == 1), return_counts=True)
+            pairs, n = np.unique(bins * 2 + (toxic == 1), return_counts=True)
             yield batch("bin toxic n", pairs // 2, pairs % 2, n)
 
     return run
@@ -174,19 +201,17 @@ def isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), a / b) for a, b, k in blocks])
 
 
-def train(labelled: DataFrame, min_z: float = MIN_Z, min_rows: float = MIN_ROWS, prior: float = PRIOR, max_lexicon: int = MAX_LEXICON) -> Model:
-    """Fit on rows (text, toxic)."""
-    rows = labelled.where("toxic is not null").select(F.lit(0).cast("long").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    keyed = rows.mapInArrow(_keys, "row long, text string, toxic int, key long").select("text", "toxic", "key")
-    sizes = keyed.groupBy("key", "toxic").agg(F.count("*").alias("size")).where("size > 1")
-    # copies weigh as one; only groups of copies are joined, single rows pass by
-    shared = sizes.withColumnsRenamed({"key": "_k", "toxic": "_x"})
-    weighted = keyed.join(shared, (F.col("key") == F.col("_k")) & (F.col("toxic") == F.col("_x")), "left").select("text", "toxic", (1.0 / F.coalesce("size", F.lit(1))).alias("weight"))
-    counts = weighted.mapInArrow(_presence, "word long, t double, c double").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+def train(docs: DataFrame, labels: DataFrame, min_z: float = MIN_Z, min_rows: float = MIN_ROWS, prior: float = PRIOR, max_lexicon: int = MAX_LEXICON) -> Model:
+    """Fit on the rows of docs (doc_id, text) that labels (doc_id, toxic) name; of several labels of an id the highest counts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max(F.col("toxic") == 1).cast("tinyint").alias("value"))
+    known = store(own, "toxic-labels", "i1")
+    sizes = rows.mapInArrow(_groups(known), "key long, n long").groupBy("key").agg(F.sum("n").alias("value"))
+    copies = store(sizes.where("value > 1"), "toxic-groups", "f8")
+    counts = rows.mapInArrow(_presence(known, copies), "word long, t double, c double").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = materialize(counts, "toxic-counts")
     total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     nt, nc = total["t"] or 0.0, total["c"] or 0.0
-    empty = np.zeros(0)
     if nt and nc:
         a = prior * (F.col("t") + F.col("c")) + 0.5
         x, y, a0 = F.col("t") + F.col("a"), F.col("c") + F.col("a"), prior * (nt + nc)
@@ -196,7 +221,7 @@ def train(labelled: DataFrame, min_z: float = MIN_Z, min_rows: float = MIN_ROWS,
     else:
         got = None
     if got is None or not len(got):
-        words, scores, lam, log_k = np.zeros(0, np.uint64), empty, 1.0, 0.0
+        words, scores, lam, log_k = np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0
     else:
         h = got["word"].to_numpy().view(np.uint64)
         order = np.argsort(h)
@@ -205,7 +230,7 @@ def train(labelled: DataFrame, min_z: float = MIN_Z, min_rows: float = MIN_ROWS,
         lam = _lambda(p, scores, OTHER)
         log_k = 0.0
     model = Model(words, scores, lam, log_k, np.zeros(1), np.full(1, 0.5))
-    hist = rows.select("text", "toxic").mapInArrow(_statistics(model), "bin long, toxic long, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).toPandas()
+    hist = rows.mapInArrow(_statistics(model, known), "bin long, toxic long, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).toPandas()
     if not len(hist):
         return model
     y, n = np.zeros(_BINS + 1), np.zeros(_BINS + 1)
@@ -235,20 +260,19 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_score(model, keep), schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows outside the held-out third."""
-    own = labels.where(~held_out(F.col("doc_id"), 3, 1)).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The labels outside the held-out third."""
+    return labels.where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "toxic")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(training_rows(docs, table(spark, sf_dir, "labels")))
+    model = train(docs, training_labels(table(spark, sf_dir, "labels")))
     out = score(docs, model, ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= CUT).cast("int").alias("predicted"), F.col("__passages").alias("n_passages"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic. The classifier is fitted on the labelled rows of the stage's own input."""
-    model = train(training_rows(docs, table(spark, sf_dir, "labels")))
+    model = train(docs, training_labels(table(spark, sf_dir, "labels")))
     return score(docs, model).where(F.col("__score") < CUT).select(*docs.columns)
