@@ -48,6 +48,8 @@ RULES = (
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "com.cn")
 SALTS = 32
 LIMIT, Z = 0.5, 1.645
+#: The least strength of a prior: a host's own few outcomes never decide alone.
+WEAKEST = 2.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -82,11 +84,11 @@ def domain_of(host: Column, suffix: Column) -> Column:
 
 
 def _strength(groups: DataFrame, key: str, n: str, bad: str) -> DataFrame:
-    """One row: prior strength by moments from the groups' counts, within [1, 10000]."""
+    """One row: prior strength by moments from the groups' counts, within [WEAKEST, 10000]."""
     total = groups.agg(F.sum(n).alias("n"), F.sum(bad).alias("b"), F.count("*").alias("k"), F.sum(F.col(n) * F.col(n)).alias("nn"), F.sum(F.col(bad) * F.col(bad) / F.col(n)).alias("bb"))
     p = F.col("b") / F.col("n")
     between = (F.col("bb") - F.col("n") * p * p - (F.col("k") - 1) * p * (1 - p)) / (F.col("n") - F.col("nn") / F.col("n"))
-    k = F.when((F.col("k") < 2) | (F.col("n") <= F.col("nn") / F.col("n")) | (between <= 0), 10000.0).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(10000.0), p * (1 - p) / between - 1)))
+    k = F.when((F.col("k") < 2) | (F.col("n") <= F.col("nn") / F.col("n")) | (between <= 0), 10000.0).otherwise(F.greatest(F.lit(WEAKEST), F.least(F.lit(10000.0), p * (1 - p) / between - 1)))
     return total.select(k.alias(key))
 
 
@@ -148,7 +150,7 @@ _BLOCKS = ", ".join(f"'{r.text}'" for r in RULES if r.verdict == "block")
 
 
 def _sql_strength(name: str) -> str:
-    return f"""(select case when count(*) < 2 or sum(n) <= sum(n * n) / sum(n) or v <= 0 then 10000.0 else greatest(1.0, least(10000.0, p * (1 - p) / v - 1)) end
+    return f"""(select case when count(*) < 2 or sum(n) <= sum(n * n) / sum(n) or v <= 0 then 10000.0 else greatest({WEAKEST}, least(10000.0, p * (1 - p) / v - 1)) end
     from {name}, (select sum(bad) / sum(n) p, (sum(bad * bad / n) - sum(n) * (sum(bad) / sum(n)) ^ 2 - (count(*) - 1) * (sum(bad) / sum(n)) * (1 - sum(bad) / sum(n))) / nullif(sum(n) - sum(n * n) / sum(n), 0) v from {name}) group by p, v)"""
 
 
