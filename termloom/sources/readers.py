@@ -38,7 +38,7 @@ def write_feature_rows(rows: DataFrame, path: str, compress: bool = True) -> Non
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """doc, year, text of whole text files; the year is the parent directory, 9999 if that is none."""
-    x = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).withColumn("file", F.input_file_name())
+    x = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", F.input_file_name())
     return x.select(F.regexp_extract("file", r"([^/]+?)(?:\.\w+)*$", 1).alias("doc"), year_of_path(F.col("file")).alias("year"), F.col("value").alias("text"))
 
 
@@ -47,7 +47,7 @@ def sections(docs: DataFrame) -> DataFrame:
     body = F.regexp_replace("text", r"(?m)^END\s*$", "")
     parts = F.slice(F.split(body, r"(?m)^FH_"), 2, 1_000)
     x = docs.select("doc", "year", F.posexplode(parts).alias("ord", "part"))
-    return x.select("doc", "year", F.regexp_extract("part", r"^(\w+):", 1).alias("section"), "ord", F.trim(F.regexp_replace("part", r"^\w+:\s*", "")).alias("text"))
+    return x.select("doc", "year", F.regexp_extract("part", r"^(\w+):", 1).alias("section"), "ord", F.regexp_replace("part", r"^\w+:\s*|\s+$", "").alias("text"))
 
 
 def write_sections(rows: DataFrame, path: str) -> None:
@@ -109,13 +109,13 @@ def web_of_science(spark: SparkSession, path: str) -> DataFrame:
 
 def cnki(spark: SparkSession, path: str) -> DataFrame:
     """doc, year (first four digits of the file name), title, abstract, body."""
-    x = spark.read.option("wholetext", True).text(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    x = spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
     return x.select("file", F.nullif(F.regexp_extract("file", r"(\d{4})", 1), F.lit("")).cast("int").alias("year"), *[_between(F.col("value"), t).alias(t) for t in ("title", "abstract", "body")])
 
 
 def pubmed(spark: SparkSession, path: str) -> DataFrame:
     """title, year (the earliest publication date), abstract and body of article files."""
-    x = spark.read.option("wholetext", True).text(path)
+    x = spark.read.text(path, wholetext=True)
     years = F.transform(F.expr(r"regexp_extract_all(value, '(?s)<pub-date.*?<year>(\\d{4})</year>', 1)"), lambda y: y.cast("int"))
     strip = lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " ")), F.lit(""))
     v = F.col("value")
