@@ -72,7 +72,7 @@ def parse_feature_row(line: Column) -> Column:
     return F.struct(parts[0].alias("chunk_id"), parts[1].cast("int").alias("year"), parts[2].alias("term"), feats.alias("feats"))
 
 
-# -- tagged sentences ---------------------------------------------------------------------------------------------------
+# Tagged sentences.
 
 SCHEMAS = {
     "en": {"start": {"JJ", "JJR", "NN", "NNS", "NNP", "NNPS", "VBN", "FW"}, "go": {"JJ", "JJR", "NN", "NNS", "NNP", "NNPS", "VBN", "VBG", "CD", "FW", "POS"}, "end": {"NN", "NNS", "NNP", "NNPS", "FW"}},

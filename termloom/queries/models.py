@@ -78,7 +78,7 @@ def _gold(spark, d):
 
 
 @query("prf_sweep", f"""with {_GOLD}, x as (select t as threshold, count(case when score > t and gold then 1 end) as tp, count(case when score > t and not gold then 1 end) as fp, count(case when score <= t and gold then 1 end) as fn, count(case when score <= t and not gold then 1 end) as tn
- from g, (select unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::double as t) group by t),
+ from g, (select unnest(generate_series(0, 9)) / 10 as t) group by t),
  y as (select *, case when tp + fp = 0 then -1 else tp / (tp + fp) end as p, case when tp + fn = 0 then -1 else tp / (tp + fn) end as r from x)
 select threshold, tp, fp, fn, tn, round(p, 6) as precision, round(r, 6) as recall, round(case when p < 0 or r < 0 or p + r = 0 then -1 else 2 * p * r / (p + r) end, 6) as f1, round(case when tp + fp + fn + tn = 0 then -1 else (tp + tn) / (tp + fp + fn + tn) end, 6) as accuracy from y""")
 def prf_sweep(spark, d):

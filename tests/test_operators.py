@@ -20,7 +20,7 @@ def test_damped_series_follows_the_previous_output(spark):
     assert got == pytest.approx(want)
 
 
-def test_usage_rates_printed_in_the_manual(spark):
+def test_usage_rates_are_in_proportion_to_logarithms(spark):
     df = spark.createDataFrame([("a", 1, 1), ("b", 1, 2), ("c", 1, 0)], "term string, year int, n int")
     u = {r.term: r.usage for r in series.usage(df).collect()}
     assert u["c"] == 0 and u["b"] / u["a"] == pytest.approx(math.log2(3))
