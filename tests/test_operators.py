@@ -117,3 +117,14 @@ def test_lineage():
 def test_materialize_uses_the_shared_folder(spark):
     df = materialize(spark.range(5), "x")
     assert df.count() == 5 and all(shared_dir(spark).split("://")[-1] in f for f in df.inputFiles())
+
+
+def test_bracketings(spark):
+    from termloom.operators import brackets as B
+
+    assert [len(B.trees(n)) for n in range(1, 6)] == [1, 1, 2, 5, 14]
+    left = ((0, 1), 2)
+    assert B.pairs(left) == [(0, 1), (1, 2)] and B.written(left, ["a", "b", "c"]) == "[[a b] c]"
+    counts = spark.createDataFrame([("b", "c", 5)], "modifier string, head string, n long")
+    got = B.bracket(spark.createDataFrame([("a b c",), ("x y",)], "term string"), counts)
+    assert {r.term: r.tree for r in got.collect()} == {"a b c": "[a [b c]]", "x y": "[x y]"}
