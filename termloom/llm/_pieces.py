@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from . import _vec as V
 
-#: Pieces that a worker process remembers; then it starts anew.
+#: Pieces that a worker process remembers, unless told otherwise; then it starts anew.
 CACHE = 800_000
 
 #: Bytes that begin no white space character (lead bytes of U+0085, U+00A0 and U+1680 .. U+3000 are left out, which only makes pieces longer).
@@ -28,8 +28,8 @@ _GOES_ON[0xE4:0xF5] = True
 class Pieces:
     """Encodes slices of texts. ``encode`` gives the ids (uint32 bytes) of each piece of a list; ``encode_text`` those of a text with a special token in it."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], encode_text: Callable[[str], bytes], specials: list[str]):
-        self.encode, self.encode_text, self.specials = encode, encode_text, specials
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], encode_text: Callable[[str], bytes], specials: list[str], most: int | None = None):
+        self.encode, self.encode_text, self.specials, self.most = encode, encode_text, specials, most or CACHE
         self.cache: dict[bytes, bytes] = {}
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +63,7 @@ class Pieces:
         values = [cache.get(x) for x in found]
         missing = [i for i, v in enumerate(values) if v is None]
         if missing:
-            if len(cache) + len(missing) > CACHE:
+            if len(cache) + len(missing) > self.most:
                 cache.clear()
             new = self.encode([found[i] for i in missing])
             for i, v in zip(missing, new):

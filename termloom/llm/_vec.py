@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; it bounds memory, not results.
 SLICE_BYTES = 4 << 20
+#: Bytes or words that are hashed at a time, which bounds the tables of powers.
+STRETCH = 1 << 18
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -104,7 +106,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     table = _RANDOM[seed][_LOWER] if lower else _RANDOM[seed]
     base, a = _BASES[seed], 0
     while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + STRETCH, "right")))
         lo, hi = int(starts[a]), int(ends[b - 1])
         p = _power(base, hi - lo)
         sums = np.zeros(hi - lo + 1, np.uint64)
@@ -122,7 +124,7 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     base = _BASES[seed]
-    out, step = np.empty(n, np.uint64), 1 << 20
+    out, step = np.empty(n, np.uint64), STRETCH
     for a in range(0, n, step):
         m = min(step, n - a)
         sums = np.zeros(m + k, np.uint64)

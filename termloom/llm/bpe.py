@@ -32,7 +32,8 @@ from ._spark import batch, table
 
 #: Contractions, words, numbers, other characters, and white space but for one space before a word.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\z)|\p{White_Space}+".replace(r"\z", r"\Z"))
-PAIRS = 2_000_000
+#: Entries that a worker process keeps of the pair table and of encoded pieces.
+PAIRS, PIECES = 250_000, 350_000
 
 
 def production_path() -> str:
@@ -87,7 +88,7 @@ class Vocabulary:
             self.automaton.add_word(b.decode("latin-1"), (len(b), r))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = Pieces(self._encode_pieces, self._encode_with_specials, list(self.specials))
+        self.pieces = Pieces(self._encode_pieces, self._encode_with_specials, list(self.specials), PIECES)
         self.decode_table = offset_table(self.token_bytes)
         self.decimal_table = offset_table([b"%d," % i for i in range(len(self.token_bytes))])
         if self.specials:

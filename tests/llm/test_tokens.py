@@ -45,9 +45,7 @@ def test_library_behind_pieces(library):
 
 
 def test_pieces_start_anew_when_full(monkeypatch, library):
-    from termloom.llm import _pieces
-
-    monkeypatch.setattr(_pieces, "CACHE", 50)
+    monkeypatch.setattr(bpe, "PIECES", 50)
     v = bpe.Vocabulary(PATH)
     t = texts()[:500]
     for part in (t[:250], t[250:]):
