@@ -33,6 +33,8 @@ from ._tables import _local, open_fs
 K, EVERY = 20, 20
 TREES, BITS, TARGET = 24, 48, 0.9
 BLOCK, RUN, QUERIES = 1 << 16, 16, 1024
+#: An ascent begins where all trees together hold so many times k rows.
+START = 64
 
 
 def usable(v: Column) -> Column:
@@ -115,6 +117,7 @@ class Block:
 
         self.ids, self.vectors = load("ids", np.int64, (n,)), load("vectors", np.float64, (n, dim))
         self.codes, self.order = load("codes", np.uint64, (TREES, n)), load("order", np.int32, (TREES, n))
+        self.single = self.vectors.astype(np.float32)
 
 
 def _ranges(codes: np.ndarray, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,62 +134,91 @@ def met(score: np.ndarray, norm: np.ndarray, largest: float, depth: int) -> np.n
     return 1 - (1 - (1 - angle / np.pi) ** depth) ** TREES
 
 
-def search_block(block: Block, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, largest: float, k: int, best: list) -> None:
-    """Add the block's rows to ``best``: for each query (scores, ids), best first."""
+def _near(s: np.ndarray, width: int, k: int, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(columns of each row's ``width`` largest values, rows in which more than these may be among the k largest within the slack)."""
+    if s.shape[1] <= width:
+        return np.broadcast_to(np.arange(s.shape[1]), s.shape), np.zeros(len(s), bool)
+    top = np.argpartition(s, s.shape[1] - width, 1)[:, -width:]
+    v = np.take_along_axis(s, top, 1)
+    kth = np.partition(v, width - k - 1, 1)[:, width - k - 1]  # the k + 1st, as the query itself may be there
+    return top, v.min(1) >= kth - slack
+
+
+def search_block(block: Block, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, largest: float, k: int, best: tuple[np.ndarray, np.ndarray]) -> None:
+    """Merge the block's rows into ``best``: (scores, ids) of each query, best first, -inf and -1 where there are none yet."""
+    n, x32 = len(block.ids), x.astype(np.float32)
     norm = np.sqrt((x * x).sum(1))
-    n = len(block.ids)
+    slack = 1e-5 * norm * largest
     # descend: the longest prefix at which all trees together hold enough rows
     depth = np.zeros(len(x), np.int64)
-    open_ = np.ones(len(x), bool)
+    live = np.arange(len(x))
     for d in range(min(BITS, max(1, int(np.log2(max(2, n))) + 2)), 0, -1):
-        rows = np.zeros(len(x), np.int64)
-        live = np.flatnonzero(open_)
-        if not len(live):
-            break
+        rows = np.zeros(len(live), np.int64)
         for t in range(TREES):
             lo, hi = _ranges(block.codes[t], codes[t, live], d)
-            rows[live] += hi - lo
-        enough = live[rows[live] >= 4 * k]
-        depth[enough], open_[enough] = d, False
+            rows += hi - lo
+        depth[live[rows >= START * k]] = d
+        live = live[rows < START * k]
+        if not len(live):
+            break
     live = np.arange(len(x))
     while len(live):  # ascend in all trees at once
-        for t in range(TREES):
-            for d in np.unique(depth[live]):
-                at = live[depth[live] == d]
-                lo, hi = _ranges(block.codes[t], codes[t, at], int(d))
-                for start in np.unique(lo[hi > lo]):
-                    own = np.flatnonzero((lo == start) & (hi > lo))
-                    stop = hi[own[0]]
-                    rows = block.order[t, start:stop]
-                    _merge(block, rows, at[own], ids, x, norm, largest, k, best)
-            if (depth[live] == 0).all():
-                break  # one tree holds every row
-        worst = np.array([best[i][0][k - 1] if len(best[i][0]) >= k else -norm[i] * largest for i in live])
-        done = (depth[live] == 0) | (met(worst, norm[live], largest, depth[live]) >= TARGET)
-        live = live[~done]
-        depth[live] -= 1
-
-
-def _merge(block: Block, rows: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, norm: np.ndarray, largest: float, k: int, best: list) -> None:
-    v = block.vectors[rows]
-    s = x[queries] @ v.T
-    slack = 1e-9 * norm[queries] * largest
-    floor = np.array([best[i][0][k - 1] if len(best[i][0]) >= k else -np.inf for i in queries]) - slack
-    if s.shape[1] > k:
-        floor = np.maximum(floor, -np.partition(-s, k, 1)[:, k] - slack)  # k + 1, as the query itself may be among them
-    for j, i in enumerate(queries):
-        c = np.flatnonzero(s[j] >= floor[j])
-        if not len(c):
-            continue
-        row_ids = block.ids[rows[c]]
-        exact = (v[c] * x[i]).sum(1)  # the same sum for equal vectors, so that ties are ties
-        other = row_ids != ids[i]
-        score, who = np.concatenate([best[i][0], exact[other]]), np.concatenate([best[i][1], row_ids[other]])
-        order = np.lexsort((who, -score))
-        score, who = score[order], who[order]
+        for d in np.unique(depth[live]):
+            _meet(block, int(d), live[depth[live] == d], ids, x, x32, codes, slack, k, best)
+        worst = np.where(best[1][live, k - 1] >= 0, best[0][live, k - 1], -norm[live] * largest)
+        p = met(worst, norm[live], largest, depth[live])
+        go = (depth[live] > 0) & (p < TARGET)
+        # as the k-th best only rises, two bits at a time while the goal is far
+        depth[live] -= np.where(p < TARGET / 2, 2, 1)
+        live = live[go]
+        depth[live] = np.maximum(depth[live], 0)
+
+
+def _meet(block: Block, d: int, at: np.ndarray, ids: np.ndarray, x: np.ndarray, x32: np.ndarray, codes: np.ndarray, slack: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> None:
+    """Score the rows that share d bits with the queries ``at`` in any tree. Single precision finds those that may count; they are scored exactly."""
+    width = 2 * k + 2
+    rows = np.full((len(at), TREES * width), -1, np.int64)
+    value = np.full(rows.shape, -np.inf, np.float32)
+    extra: dict[int, list[np.ndarray]] = {}
+    for t in range(TREES if d else 1):  # without bits one tree holds every row
+        lo, hi = _ranges(block.codes[t], codes[t, at], d)
+        order = np.argsort(lo, kind="stable")
+        edges = np.flatnonzero(np.append(True, lo[order[1:]] != lo[order[:-1]]))
+        for a, b in zip(edges, [*edges[1:], len(order)]):
+            own = order[a:b]
+            start, stop = lo[own[0]], hi[own[0]]
+            if stop <= start:
+                continue
+            r = block.order[t, start:stop]
+            v = block.single[r]
+            for c in range(0, len(own), 256):
+                q = own[c : c + 256]
+                s = x32[at[q]] @ v.T
+                top, more = _near(s, width, k, slack[at[q]])
+                cols = slice(t * width, t * width + top.shape[1])
+                rows[q, cols] = r[top]
+                value[q, cols] = np.take_along_axis(s, top, 1)
+                for j in np.flatnonzero(more):
+                    kth = np.partition(s[j], len(s[j]) - k - 1)[len(s[j]) - k - 1]
+                    extra.setdefault(int(q[j]), []).append(r[s[j] >= kth - slack[at[q[j]]]])
+    order = np.argsort(rows, 1)
+    rows, value = np.take_along_axis(rows, order, 1), np.take_along_axis(value, order, 1)
+    value[:, 1:][rows[:, 1:] == rows[:, :-1]] = -np.inf  # met in several trees
+    top, more = _near(value, min(2 * width, value.shape[1]), k, slack[at])
+    for i in range(len(at)):
+        r = rows[i, top[i]][np.isfinite(value[i, top[i]])] if not more[i] else rows[i][np.isfinite(value[i])]
+        if i in extra:
+            r = np.unique(np.concatenate([r, *extra[i]]))
+        g = at[i]
+        r = r[block.ids[r] != ids[g]]
+        exact = (block.vectors[r] * x[g]).sum(1)  # the same sum for equal vectors, so that ties are ties
+        held = best[1][g] >= 0
+        score, who = np.concatenate([best[0][g][held], exact]), np.concatenate([best[1][g][held], block.ids[r]])
+        pick = np.lexsort((who, -score))
+        score, who = score[pick], who[pick]
         _, firsts = np.unique(who, return_index=True)
-        firsts.sort()
-        best[i] = (score[firsts[:k]], who[firsts[:k]])
+        firsts = np.sort(firsts)[:k]
+        best[0][g, : len(firsts)], best[1][g, : len(firsts)] = score[firsts], who[firsts]
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -212,11 +244,11 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
                 at = np.flatnonzero(own.ids % every == 0)[a : a + QUERIES]
                 ids, x = own.ids[at], np.array(own.vectors[at])
                 codes = hash_strings(x, np.zeros(len(x)))
-                best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in at]
+                best = np.full((len(at), k), -np.inf), np.full((len(at), k), -1, np.int64)
                 for other, m, _ in runs[r]:
                     search_block(Block(uri, other, m, dim), ids, x, codes, largest, k, best)
-                count = [len(s) for s, _ in best]
-                yield batch("query_id vec_id score", np.repeat(ids, count), np.concatenate([w for _, w in best]), np.concatenate([s for s, _ in best]))
+                has = best[1] >= 0
+                yield batch("query_id vec_id score", np.repeat(ids, has.sum(1)), best[1][has], best[0][has])
 
     listing = spark.createDataFrame(tasks, "block string, n long, start long, run int")
     found = listing.repartition(max(1, min(len(tasks), 10_000)), "block", "start", "run").mapInArrow(run, schema)
