@@ -15,7 +15,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.plans.shared import fresh_dir, materialize
+from termloom.plans.shared import fresh_dir, materialize, release
 
 from ._spark import batch
 
@@ -76,6 +76,7 @@ def store(df: DataFrame, label: str, columns: dict[str, str] | str) -> Table:
     counts = np.zeros(1 << bits, np.int64)
     for r in parted.mapInArrow(write, "bucket long, n long").collect():  # one row a bucket
         counts[r.bucket] = r.n
+    release(spark, df)
     return Table(uri, bits, columns, counts)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.plans.shared import materialize
+from termloom.plans.shared import materialize, release
 
 from . import _vec as V
 from ._spark import batch, held_out, table
@@ -188,6 +188,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Mo
             model.unseen = discount * s.types / s.n if s.n else 1.0
             p = (F.col("n") - discount) / max(1, s.n)
             model.levels.append(Level(store(kept.withColumn("p", p), "words", {"n": "i8", "p": "f8"}), None))
+            release(spark, merged)
             continue
         below = model.levels[-1]
         parts = kept.select(F.shiftrightunsigned("key", 32).alias("state"), "n").groupBy("state").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
@@ -211,6 +212,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Mo
                 yield batch("key n p last", V._mix(key).view(np.int64), n, p, last)
 
         model.levels.append(Level(store(kept.mapInArrow(weigh, "key long, n long, p double, last long"), f"arcs{k}", {"n": "i8", "p": "f8", "last": "i8"}), None))
+        release(spark, merged)
     return model
 
 
