@@ -1,7 +1,7 @@
 """LM scoring with a weighted backoff automaton.
 
 Training. N-grams of the training documents are counted order by order. An n-gram that occurs twice has parts that do, so an order counts only what
-continues a kept context and ends in a kept shorter n-gram; counts from ``min_count`` on are kept (1 for words: every word is kept). Tasks
+continues a kept context and ends in a kept shorter n-gram; counts from ``min_count`` on are kept (1 for words: every word is kept). The query keeps all n-grams, from one occurrence on. Tasks
 pass on sorted, summed keys in blocks, split evenly by a hash over reducers, however often a word occurs.
 Probabilities are interpolated with absolute discounting: p(w|h) = (c(hw) - D) / c(h) + b(h) * p(w|h'), where b(h) is what discounting and unkept
 n-grams leave over; D = n1 / (n1 + 2 n2) of each order. Unseen words are one further type that shares what words are discounted.
@@ -33,6 +33,8 @@ from ._spark import batch, held_out, table
 from ._tables import Table, store
 
 ORDER, MIN_COUNT = 3, 2
+#: The query keeps every n-gram that was seen.
+QUERY_MIN_COUNT = 1
 #: Keys that a task sorts and sums at a time.
 FLUSH = 4 << 20
 END = np.uint64(0xE4D0F1E2D3C4B5A6)
@@ -41,7 +43,7 @@ _SHIFT = np.uint64(32)
 
 @dataclass
 class Level:
-    """An order: kept n-grams (columns n, p), and the backoff weight of each state that they leave."""
+    """An order: kept n-grams (columns n, p; the highest order p alone), and the backoff weight of each state that they leave."""
 
     arcs: Table
     back: Table | None
@@ -202,16 +204,23 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Mo
         below.back = back = store(parts.mapInArrow(backoff, "key long, value double"), f"back{k}", "f8")
         words, lower = model.levels[0].arcs, below
 
-        def weigh(batches, lower=lower, back=back, discount=discount, first=k == 2, words=words):
+        top = k == order
+
+        def weigh(batches, lower=lower, back=back, discount=discount, first=k == 2, words=words, top=top):
             for b in batches:
                 key, n = b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy()
                 state, word = (key >> _SHIFT).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 low = words.values(word, 0.0, "p") if first else lower.arcs.lookup(V._mix(_pair(lower.arcs.values(state, -1, "last"), word)), 0.0, "p")
                 p = (n - discount) / lower.arcs.values(state, 1, "n") + back.lookup(V._mix(state.astype(np.uint64)), 1.0) * low
+                if top:
+                    yield batch("key p", V._mix(key).view(np.int64), p)
+                    continue
                 last = word if first else lower.arcs.find(V._mix(_pair(lower.arcs.values(state, -1, "last"), word)))
                 yield batch("key n p last", V._mix(key).view(np.int64), n, p, last)
 
-        model.levels.append(Level(store(kept.mapInArrow(weigh, "key long, n long, p double, last long"), f"arcs{k}", {"n": "i8", "p": "f8", "last": "i8"}), None))
+        columns = {"p": "f8"} if top else {"n": "i8", "p": "f8", "last": "i8"}
+        schema = "key long, p double" if top else "key long, n long, p double, last long"
+        model.levels.append(Level(store(kept.mapInArrow(weigh, schema), f"arcs{k}", columns), None))
         release(spark, merged)
     return model
 
@@ -252,5 +261,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out(F.col("doc_id"), 10, 0)
-    model = train(docs.where(~out))
+    model = train(docs.where(~out), min_count=QUERY_MIN_COUNT)
     return score(docs, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

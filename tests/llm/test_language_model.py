@@ -97,3 +97,14 @@ def test_query(spark, sf):
     assert rows.held_out.any() and (~rows.held_out).any()
     own = rows[rows.held_out]
     assert own.score.sum() > own.base_score.sum() and np.isfinite(rows.score).all()
+
+
+def test_query_keeps_ngrams_seen_once(spark, tmp_path):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice([f"w{rnd.randrange(12)}", f"r{rnd.randrange(200)}"]) for _ in range(rnd.randrange(1, 30))) for _ in range(80)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = L.query(spark, str(tmp_path)).collect()
+    own = Brute([texts[r.doc_id] for r in got if not r.held_out], 3, 1)
+    assert len(got) == len(texts) and any(r.held_out for r in got)
+    for r in got:
+        assert r.score == pytest.approx(own.score(texts[r.doc_id], 3), rel=1e-9)
