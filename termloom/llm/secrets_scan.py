@@ -5,7 +5,7 @@ around it by a small convolutional network in numpy: character embeddings with a
 convolution, maximum and mean over the window, a logistic output. It is trained on labelled findings: by default a seeded, bounded set of
 ``FINDINGS`` made-up ones (keys, tokens, digests, encoded blobs against words, paths, identifiers, dates, links), or findings that the caller passes. A third is held back: on it
 the outputs are calibrated (Platt) and the threshold is the highest one that still recalls ``RECALL`` of the true findings. Findings of the
-network are added under the kind ``model`` unless they lie within a base finding; base findings stay.
+network are added under the kind ``model`` unless base findings cover them whole; base findings stay, and spans may overlap.
 
 Defined cases: null counts as empty text without findings; repeated rows are scanned alike; other columns are not read by the operator and passed
 through by the stage; an empty table gives an empty result. A very long text is scanned whole. Positions are code points, ends exclusive.
@@ -229,11 +229,19 @@ def scan(texts: pa.Array, net: Network) -> list[list[tuple[int, int, int]]]:
         p = net.probabilities(np.array(codes))
         for k in np.flatnonzero(p >= net.threshold).tolist():
             i, a, b = where[k]
-            if not any(s < b and a < e for s, _, e in out[i]):
+            if not covered(a, b, out[i]):
                 out[i].append((a, 3, b))
     return [sorted(x) for x in out]
 
 
+def covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether the union of the base findings among ``spans`` holds all of start to end."""
+    for s, kind, e in sorted(spans):
+        if kind < 3 and s <= start < e:
+            start = e
+    return start >= end
+
+
 def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
