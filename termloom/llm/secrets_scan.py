@@ -2,9 +2,11 @@
 
 Base findings come from three patterns. Candidates are all runs of 16 or more characters of ``[A-Za-z0-9+/_=-]``; each is judged with the text
 around it by a small convolutional network in numpy: character embeddings with a channel that tells candidate from context, one
-convolution, maximum and mean over the window, a logistic output. It is trained on labelled findings: by default a seeded, bounded set of
+convolution, maximum and mean over the window, a logistic output. The network sees 40 characters of a candidate at a time; of longer ones windows at every
+``STRIDE`` characters and the last one are judged, each with the candidate's context, and the largest probability counts. It is trained on labelled findings: by default a seeded, bounded set of
 ``FINDINGS`` made-up ones (keys, tokens, digests, encoded blobs against words, paths, identifiers, dates, links), or findings that the caller passes. A third is held back: on it
-the outputs are calibrated (Platt) and the threshold is the highest one that still recalls ``RECALL`` of the true findings. Findings of the
+the outputs are calibrated (Platt) and the threshold is the highest one that still recalls ``RECALL`` of the true findings. The default network's
+threshold also recalls as many of the ``LONG`` made-up longer runs, half of them with a secret somewhere in them, by the largest probability. Findings of the
 network are added under the kind ``model`` unless base findings cover them whole; base findings stay, and spans may overlap.
 
 Defined cases: null counts as empty text without findings; repeated rows are scanned alike; other columns are not read by the operator and passed
@@ -16,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -34,7 +36,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _ASSIGNS = r"""(?i)(password|passwd|secret|token|api_?key)["']? *[:=]"""
 LEFT, INSIDE, RIGHT = 24, 40, 8
 WINDOW = LEFT + INSIDE + RIGHT
-FINDINGS, RECALL = 4500, 0.98
+#: Any 30 characters of a candidate lie within one of its windows.
+STRIDE = 10
+#: Windows that are judged at a time.
+CHUNK = 4096
+FINDINGS, LONG, RECALL = 4500, 900, 0.98
 _CODES, _DIM, _WIDTH, _FILTERS = 100, 8, 5, 24
 
 _RUN = np.zeros(256, bool)
@@ -53,14 +59,21 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def window_codes(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the window: context, the candidate's first characters, context after it; 0 where there is nothing."""
+def window_starts(start: int, end: int) -> list[int]:
+    """Where the windows of a candidate begin; together they hold all of it."""
+    last = max(start, end - INSIDE)
+    return [*range(start, last, STRIDE), last]
+
+
+def window_codes(text: str, start: int, end: int, at: int | None = None) -> np.ndarray:
+    """Codes of the window: context, the candidate's characters from ``at`` on (its first ones), context after it; 0 where there is nothing."""
     out = np.zeros(WINDOW, np.int64)
-    stop = min(end, start + INSIDE)
-    for at, part in ((LEFT - len(text[max(0, start - LEFT) : start]), text[max(0, start - LEFT) : start]), (LEFT, text[start:stop]), (LEFT + INSIDE, text[end : end + RIGHT])):
+    inside = start if at is None else at
+    stop = min(end, inside + INSIDE)
+    for to, part in ((LEFT - len(text[max(0, start - LEFT) : start]), text[max(0, start - LEFT) : start]), (LEFT, text[inside:stop]), (LEFT + INSIDE, text[end : end + RIGHT])):
         if part:
             c = np.frombuffer(part.encode("utf-32-le"), np.uint32).astype(np.int64)
-            out[at : at + len(c)] = np.where((c > 32) & (c < 127), c - 31, np.where(c <= 32, 97, 98))
+            out[to : to + len(c)] = np.where((c > 32) & (c < 127), c - 31, np.where(c <= 32, 97, 98))
     return out
 
 
@@ -119,6 +132,40 @@ def labelled_findings(n: int = FINDINGS, seed: int = 8) -> tuple[np.ndarray, np.
     return np.array(codes), np.array(labels, np.float64)
 
 
+def long_findings(n: int = LONG, seed: int = 9) -> list[tuple[str, int, int, int, int]]:
+    """Made-up candidates of more than ``INSIDE`` characters, every other one with a secret: (text, start, end, secret's start, secret's end)."""
+    r = random.Random(seed)
+    words = "config production services payment gateway credentials release backup archive user account data static images module include source local share report index schema version storage public internal common client server".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def syllables():
+        return "".join(r.choice("ba ce di fo gu ka le mi no pu ra se ti vo wen sch ung ter lin tor".split()) for _ in range(r.randint(1, 4)))
+
+    def run(least):
+        if r.random() < 0.1:
+            return r.choice("=-_+") * r.randint(least, least + 60)
+        mark, out = r.choice("/_-/"), ""
+        while len(out) < least:
+            part = r.choice(words) if r.random() < 0.6 else syllables() if r.random() < 0.8 else str(r.randrange(10000))
+            out += part.capitalize() * (r.random() < 0.2) or part
+            out += mark
+        return out
+
+    out = []
+    for i in range(n):
+        head, secret, tail = run(r.choice([41, 60, 90, 140])), "", ""
+        if i % 2:
+            head = run(r.choice([1, 20, 41, 60, 90])) + r.choice(["", "=", "key=", "/"])
+            kind = r.choice([letters, letters + "+/", letters + "-_", "0123456789abcdef"])
+            secret = "".join(r.choice(kind) for _ in range(r.randint(32 if len(kind) == 16 else 24, 60)))
+            tail = "/" + run(r.choice([1, 20, 60])) if r.random() < 0.4 or len(head) + len(secret) <= INSIDE else ""
+        before = " ".join(syllables() for _ in range(r.randint(0, 4))) + r.choice([" ", "\n", ' "', " (", ": "])
+        value = head + secret + tail
+        at = len(before) + len(head)
+        out.append((before + value + r.choice(["", " ", '"', ". ", "\n"]) + syllables(), len(before), len(before) + len(value), at, at + len(secret)))
+    return out
+
+
 @dataclass(frozen=True)
 class Network:
     embedding: np.ndarray  # (codes, dim)
@@ -202,9 +249,20 @@ def fit(codes: np.ndarray, labels: np.ndarray, epochs: int = 5, rate: float = 3e
     return Network(*p, platt=(float(a), float(b)), threshold=float(max(least, 0.5)) if recall < 1 and least >= 0.5 else float(least))
 
 
+def largest(net: Network, text: str, start: int, end: int) -> float:
+    """The largest probability of a candidate's windows."""
+    return float(net.probabilities(np.array([window_codes(text, start, end, at) for at in window_starts(start, end)])).max())
+
+
+def calibrate_on_windows(net: Network, findings: list[tuple[str, int, int, int, int]], recall: float = RECALL) -> Network:
+    """The network with a threshold at which the largest of the windows' probabilities, too, recalls so many of the true findings."""
+    q = sorted(largest(net, text, a, b) for text, a, b, s, e in findings if e > s)
+    return replace(net, threshold=min(net.threshold, q[int((1 - recall) * len(q))])) if q else net
+
+
 @cache
 def default_network() -> Network:
-    return fit(*labelled_findings())
+    return calibrate_on_windows(fit(*labelled_findings()), long_findings())
 
 
 def scan(texts: pa.Array, net: Network) -> list[list[tuple[int, int, int]]]:
@@ -218,19 +276,30 @@ def scan(texts: pa.Array, net: Network) -> list[list[tuple[int, int, int]]]:
     look = pc.match_substring_regex(texts, _ASSIGNS).to_numpy(zero_copy_only=False).copy()
     look[np.searchsorted(first, long, "right") - 1] = True
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
-    codes, where = [], []
+    codes, of, where, best = [], [], [], []
+
+    def judge():
+        for k, p in zip(of, net.probabilities(np.array(codes)).tolist()):
+            best[k] = max(best[k], p)
+        codes.clear()
+        of.clear()
+
     for i in np.flatnonzero(look).tolist():
         text = texts[i].as_py()
         out[i] = base_findings(text)
         for c in CANDIDATE.finditer(text):
-            codes.append(window_codes(text, *c.span()))
             where.append((i, *c.span()))
+            best.append(0.0)
+            for at in window_starts(*c.span()):
+                codes.append(window_codes(text, *c.span(), at))
+                of.append(len(best) - 1)
+                if len(codes) >= CHUNK:
+                    judge()
     if codes:
-        p = net.probabilities(np.array(codes))
-        for k in np.flatnonzero(p >= net.threshold).tolist():
-            i, a, b = where[k]
-            if not covered(a, b, out[i]):
-                out[i].append((a, 3, b))
+        judge()
+    for (i, a, b), p in zip(where, best):
+        if p >= net.threshold and not covered(a, b, out[i]):
+            out[i].append((a, 3, b))
     return [sorted(x) for x in out]
 
 

@@ -81,3 +81,24 @@ def test_network_finding_that_base_findings_cover_in_part(net):
     whole = 'token = "0a1b2c3d4e5f60718293a4b5c6d7e8f9"'
     assert all(f[1] < 3 for f in S.scan(pa.array([whole]), net)[0])
     assert S.covered(0, 9, [(0, 0, 5), (4, 2, 9)]) and not S.covered(0, 9, [(0, 0, 4), (5, 2, 9)]) and not S.covered(0, 10, [(0, 0, 5), (4, 2, 9)])
+
+
+def test_secrets_after_the_first_forty_characters(net):
+    r = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    head = "config/production/services/payment/gateway/credentials="
+    keys = ["".join(r.choice(letters) for _ in range(40)) for _ in range(50)]
+    found = S.scan(pa.array([f"see {head}{k} end" for k in keys]), net)
+    assert sum((4, 3, 4 + len(head) + 40) in f for f in found) >= 48
+    made = S.long_findings(600, seed=77)
+    said = np.array([any(x[1] == 3 for x in f) for f in S.scan(pa.array([t for t, *_ in made]), net)])
+    true = np.array([e > s for *_, s, e in made])
+    # digests are base findings too, but never cover a longer run whole
+    assert said[true].mean() > 0.95 and said[~true].mean() < 0.05
+
+
+def test_windows_hold_the_whole_candidate():
+    for n in (16, 40, 41, 49, 50, 51, 137, 1000):
+        at = S.window_starts(7, 7 + n)
+        assert at[0] == 7 and max(at) == 7 + max(0, n - S.INSIDE) and len(set(at)) == len(at)
+        assert all(b - a <= S.STRIDE for a, b in zip(at, at[1:]))
