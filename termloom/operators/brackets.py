@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONGEST = 7
-
 
 @lru_cache(maxsize=64)
 def trees(n: int, start: int = 0) -> tuple:
@@ -33,6 +31,35 @@ def written(tree, words: list[str]) -> str:
     return words[tree] if isinstance(tree, int) else f"[{written(tree[0], words)} {written(tree[1], words)}]"
 
 
+def best_tree(words: list[str], n: dict[str, int]) -> tuple[str, float]:
+    """The first tree of the largest score, as it is written, and its score.
+
+    A span's head is its last word, so its best tree is made of the best ones of its parts; products are of integers, without rounding.
+    """
+    size = len(words)
+    score, cut = {(i, i + 1): 1 for i in range(size)}, {}
+    for length in range(2, size + 1):
+        for i in range(size - length + 1):
+            j, best = i + length, None
+            for k in range(i + 1, j):
+                s = score[i, k] * score[k, j] * (n.get(f"{words[k - 1]} {words[j - 1]}", 0) + 1)
+                if best is None or s > best:
+                    best, cut[i, j] = s, k
+            score[i, j] = best
+    opened, closed, spans = [0] * size, [0] * size, [(0, size)]
+    while spans:
+        i, j = spans.pop()
+        if j - i > 1:
+            opened[i] += 1
+            closed[j - 1] += 1
+            spans += [(i, cut[i, j]), (cut[i, j], j)]
+    try:
+        total = float(score[0, size])
+    except OverflowError:
+        total = float("inf")
+    return " ".join("[" * a + w + "]" * z for a, w, z in zip(opened, words, closed)), total
+
+
 def all_pairs(phrases: DataFrame) -> DataFrame:
     """(term, modifier, head): every ordered pair of words of a phrase."""
     w = F.split("term", " ")
@@ -43,7 +70,7 @@ def all_pairs(phrases: DataFrame) -> DataFrame:
 def bracket(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     """(term, tree, score): the tree with the largest product of (count + 1) over its pairs; the first one on ties.
 
-    counts (modifier, head, n) join the phrases' pairs; each phrase then has its few pairs in one row, and trees of up to ``LONGEST`` words are scored in Arrow batches.
+    counts (modifier, head, n) join the phrases' pairs; each phrase then has its pairs in one row, and the best tree is found over its spans, whatever their number of words.
     """
     p = all_pairs(phrases).join(counts, ["modifier", "head"], "left").groupBy("term").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.concat_ws(" ", "modifier", "head"), F.coalesce("n", F.lit(0)))))).alias("m"))
 
@@ -51,17 +78,7 @@ def bracket(phrases: DataFrame, counts: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for term, m in zip(b["term"], b["m"]):
-                words = term.split(" ")
-                if len(words) > LONGEST:
-                    continue
-                n, best = dict(m), None
-                for t in trees(len(words)):
-                    s = 1.0
-                    for i, j in pairs(t):
-                        s *= n.get(f"{words[i]} {words[j]}", 0) + 1
-                    if best is None or s > best[1]:
-                        best = (written(t, words), s)
-                rows.append((term, *best))
+                rows.append((term, *best_tree(term.split(" "), dict(m))))
             yield pd.DataFrame(rows, columns=["term", "tree", "score"])
 
     return p.mapInPandas(run, "term string, tree string, score double")

@@ -45,7 +45,8 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """doc, year, section, ord, text of documents (doc, year, text) with ``FH_<NAME>:`` header lines, closed by ``END``."""
     body = F.regexp_replace("text", r"(?m)^END\s*$", "")
-    parts = F.slice(F.split(body, r"(?m)^FH_"), 2, 1_000)
+    parts = F.split(body, r"(?m)^FH_")
+    parts = F.slice(parts, F.lit(2), F.size(parts))
     x = docs.select("doc", "year", F.posexplode(parts).alias("ord", "part"))
     return x.select("doc", "year", F.regexp_extract("part", r"^(\w+):", 1).alias("section"), "ord", F.regexp_replace("part", r"^\w+:\s*|\s+$", "").alias("text"))
 

@@ -128,3 +128,26 @@ def test_bracketings(spark):
     counts = spark.createDataFrame([("b", "c", 5)], "modifier string, head string, n long")
     got = B.bracket(spark.createDataFrame([("a b c",), ("x y",)], "term string"), counts)
     assert {r.term: r.tree for r in got.collect()} == {"a b c": "[a [b c]]", "x y": "[x y]"}
+
+
+def test_bracketings_of_any_length(spark):
+    import random
+
+    from termloom.operators import brackets as B
+
+    rnd = random.Random(3)
+    for size in (2, 3, 5, 7, 8):
+        words = [rnd.choice("abcd") for _ in range(size)]
+        n = {f"{x} {y}": rnd.randrange(4) for x in "abcd" for y in "abcd"}
+        best = None
+        for t in B.trees(size):
+            s = 1
+            for i, j in B.pairs(t):
+                s *= n[f"{words[i]} {words[j]}"] + 1
+            if best is None or s > best[1]:
+                best = (B.written(t, words), s)
+        assert B.best_tree(words, n) == best
+    counts = spark.createDataFrame([("a", "b", 5)], "modifier string, head string, n long")
+    long = " ".join(f"w{k}" for k in range(30))
+    got = {r.term: r for r in B.bracket(spark.createDataFrame([(long,), ("c d e f g h a b",)], "term string"), counts).collect()}
+    assert got[long].score == 1.0 and got[long].tree.count("[") == 29 and got["c d e f g h a b"].score == 6.0

@@ -80,3 +80,12 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([("2024-01-01 00:05:00", "a", 1), ("2024-01-01 00:50:00", "a", 1), ("2024-01-01 01:05:00", "b", 1)], "ts string, event_type string, user_id long").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.event_type, r.n) for r in I.windowed_counts(events).collect()) == [("a", 2), ("b", 1)]
     assert sorted(r.n for r in I.sessions(events).collect()) == [1, 2]
+
+
+def test_sections_of_any_number(spark):
+    from termloom.sources import readers
+
+    text = "".join(f"FH_S{k}:\nline {k}\n" for k in range(1500)) + "END\n"
+    docs = spark.createDataFrame([("d", 2000, text), ("none", 2000, ""), ("null", 2000, None)], "doc string, year int, text string")
+    rows = readers.sections(docs).orderBy("ord").collect()
+    assert [(r.doc, r.section, r.ord, r.text) for r in rows] == [("d", f"S{k}", k, f"line {k}") for k in range(1500)]
