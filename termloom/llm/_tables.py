@@ -2,12 +2,15 @@
 
 A table of 64-bit keys and a fixed-width value is cut into buckets by the keys' leading bits; each bucket is two flat files, written
 under a temporary name and renamed, so that a repeated task leaves the same file. Executors map the buckets they probe: a table's
-size is bounded by the folder, not by an executor's memory, and nothing passes through the driver but bucket counts.
+size is bounded by the folder, not by an executor's memory, and nothing passes through the driver but bucket counts. Where files can't be
+mapped (object stores), a worker reads the buckets it probes and keeps the last used ones, up to a number of bytes.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
@@ -21,6 +24,8 @@ from ._spark import batch
 
 #: Rows of a bucket, about.
 BUCKET_ROWS = 4 << 20
+#: Bytes that a worker keeps of files that it can't map.
+HELD_BYTES = 256 << 20
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -32,6 +37,35 @@ def _local(uri: str) -> str | None:
     return x.path if x.scheme in ("", "file") else None
 
 
+class Files:
+    """Flat files of a folder: mapped where they can be, else read whole and kept up to a number of bytes, the last used."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+        self._held: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
+        self._bytes = 0
+
+    def read(self, name: str, kind) -> np.ndarray:
+        key = name, np.dtype(kind).str
+        got = self._held.get(key)
+        if got is not None:
+            self._held.move_to_end(key)
+            return got
+        local = _local(self.uri)
+        if local is not None:
+            path = f"{local}/{name}"
+            got = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        else:
+            fs, path = open_fs(self.uri)
+            with fs.open_input_stream(f"{path}/{name}") as f:
+                got = np.frombuffer(f.readall(), kind)
+            self._bytes += got.nbytes
+            while self._held and self._bytes > HELD_BYTES:
+                self._bytes -= self._held.popitem(last=False)[1].nbytes
+        self._held[key] = got
+        return got
+
+
 def store(df: DataFrame, label: str, columns: dict[str, str] | str) -> Table:
     """Write rows of a ``key`` (long; distinct, taken as unsigned) and value columns of the given numpy types (one type: ``value``)."""
     if isinstance(columns, str):
@@ -86,7 +120,7 @@ class Table:
     def __init__(self, uri: str, bits: int, columns: dict[str, str], counts: np.ndarray):
         self.uri, self.bits, self.columns, self.counts = uri, bits, columns, counts
         self.before = np.cumsum(counts) - counts
-        self._open: dict[tuple[int, str], np.ndarray] = {}
+        self.files = Files(uri)
 
     def __getstate__(self):
         return self.uri, self.bits, self.columns, self.counts
@@ -98,18 +132,8 @@ class Table:
         return int(self.counts.sum())
 
     def _file(self, k: int, kind: str) -> np.ndarray:
-        if (k, kind) not in self._open:
-            local, kind_type = _local(self.uri), np.dtype("u8" if kind == "key" else self.columns[kind])
-            if not self.counts[k]:
-                got = np.zeros(0, kind_type)
-            elif local is not None:
-                got = np.memmap(f"{local}/{k}.{kind}", kind_type, "r")
-            else:  # no maps there: one file is held at a time
-                fs, path = open_fs(self.uri)
-                self._open.clear()
-                got = np.frombuffer(fs.open_input_stream(f"{path}/{k}.{kind}").readall(), kind_type)
-            self._open[k, kind] = got
-        return self._open[k, kind]
+        kind_type = np.dtype("u8" if kind == "key" else self.columns[kind])
+        return self.files.read(f"{k}.{kind}", kind_type) if self.counts[k] else np.zeros(0, kind_type)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each unsigned 64-bit key in the order of all keys, -1 if it isn't there."""

@@ -1,15 +1,19 @@
 """LM scoring with a weighted backoff automaton.
 
-Training. N-grams of the training documents are counted order by order. An n-gram that occurs twice has parts that do, so an order counts only what
-continues a kept context and ends in a kept shorter n-gram; counts from ``min_count`` on are kept (1 for words: every word is kept). The query keeps all n-grams, from one occurrence on. Tasks
-pass on sorted, summed keys in blocks, split evenly by a hash over reducers, however often a word occurs.
+Training. N-grams of the training documents are counted order by order; counts from ``min_count`` on are kept (1 unless told otherwise: every n-gram that was
+seen; words always). An order counts only what continues a kept context and ends in a kept shorter n-gram. Tasks pass on sorted, summed and packed pairs
+of state and word, dealt to buckets that hold about equally many tokens, so that neither a frequent word nor a large corpus makes a large task.
 Probabilities are interpolated with absolute discounting: p(w|h) = (c(hw) - D) / c(h) + b(h) * p(w|h'), where b(h) is what discounting and unkept
 n-grams leave over; D = n1 / (n1 + 2 n2) of each order. Unseen words are one further type that shares what words are discounted.
 
-Automaton. A kept n-gram is an arc from the state of its first words, with its probability as weight; a state is a context; its failure
-arc, of weight b(h), leads to the context without its first word. Word, state and arc numbers are positions in sorted tables that lie in the shared folder and that
-executors map; nothing passes through the driver. A traversal carries the state from token to token and adds log10 weights. As
-the state after a token depends on the last words alone, all positions of a slice are carried along at once.
+Automaton. States are contexts of up to ``order`` - 1 words. A kept n-gram is an arc from the state of its first words into the state of its last ones,
+with its probability as weight; the failure arc of a state, of weight b(h), leads to the context without its first word. States and arcs are
+numbers (64 bits) of sorted flat files in the shared folder (see ``_automaton``) that executors map; nothing but bucket counts passes through the driver.
+Arcs hold counts, from which weights follow, so that an n-gram takes few bytes.
+
+Scoring. A task fetches the arcs that its slice of texts can reach, in bulk, and then traverses the texts from left to right: each document carries its state from
+token to token, takes failure arcs until an arc with the token leaves the state, and adds the log10 weights on the way. Documents are traversed side by side;
+long ones are cut into stretches, each of which is entered ``order`` - 1 tokens earlier, after which its state is that of the whole text.
 
 Tokens are runs of non-space characters, A-Z lower-cased, then one end per document, which also is the context of the first word.
 
@@ -19,43 +23,41 @@ unseen and the base score is that of a count of 0 with N = V = 0; other columns
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.plans.shared import materialize, release
+from termloom.plans.shared import fresh_dir, materialize
 
 from . import _vec as V
+from ._automaton import Arcs, Layout
 from ._spark import batch, held_out, table
-from ._tables import Table, store
+from ._tables import Table, open_fs, store
 
-ORDER, MIN_COUNT = 3, 2
-#: The query keeps every n-gram that was seen.
-QUERY_MIN_COUNT = 1
-#: Keys that a task sorts and sums at a time.
-FLUSH = 4 << 20
+ORDER, MIN_COUNT = 3, 1
+#: Keys that a task sorts and sums at a time, and tokens of a bucket, about.
+FLUSH, BUCKET_TOKENS = 2 << 20, 4 << 20
+#: Tokens that a lane of the traversal takes.
+STRETCH = 512
 END = np.uint64(0xE4D0F1E2D3C4B5A6)
-_SHIFT = np.uint64(32)
-
-
-@dataclass
-class Level:
-    """An order: kept n-grams (columns n, p; the highest order p alone), and the backoff weight of each state that they leave."""
-
-    arcs: Table
-    back: Table | None
 
 
 @dataclass
 class Model:
     order: int
-    tokens: int
-    types: int
-    unseen: float
-    levels: list[Level]
+    tokens: int = 0
+    types: int = 0
+    words: Table | None = None
+    levels: list[Arcs] = field(default_factory=list)
+    discounts: list[float] = field(default_factory=list)
+
+    @property
+    def unseen(self) -> float:
+        p = self.discounts[0] * self.types / self.tokens if self.tokens else 1.0
+        return p or 1 / (self.tokens + self.types + 1)
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,178 +73,177 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(n + 1)
 
 
-def _pair(state: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (state.astype(np.uint64) << _SHIFT) | word.astype(np.uint64)
-
-
-def walk(texts: pa.Array, levels: list[Level]):
-    """For each order but the last: the numbers of the n-grams that end at each token, -1 where it isn't kept.
-
-    Returns (first, [numbers by order], [state before each token by order]); the state of order k is the number of the k words before it.
-    """
+def reach(texts: pa.Array, words: Table, levels: list[Arcs]):
+    """(first, numbers, states): by order, the number of the arc that ends at each token, and the state of that many words before it; -1 for none."""
     hashes, first = tokens_of(texts)
-    n = len(hashes)
-    starts = np.zeros(n, bool)
+    starts = np.zeros(len(hashes), bool)
     starts[first[:-1]] = True
-    numbers, states = [], []
-    for k, level in enumerate(levels):
-        if k == 0:
-            number = level.arcs.find(hashes)
-        else:
-            state = states[k - 1]
-            has = np.flatnonzero((state >= 0) & (numbers[k - 1] >= 0))
-            number = np.full(n, -1, np.int64)
-            number[has] = level.arcs.find(V._mix(_pair(state[has], numbers[0][has])))
-        numbers.append(number)
-        state = np.full(n, -1, np.int64)
-        state[1:] = number[:-1]
-        state[starts] = level.arcs.find(np.array([END]))[0] if k == 0 else -1
+    numbers, states = [words.find(hashes)], []
+    for k in range(len(levels) + 1):
+        state = np.full(len(hashes), -1, np.int64)
+        state[1:] = numbers[k][:-1]
+        state[starts] = words.find(np.array([END]))[0] if k == 0 else -1
         states.append(state)
+        if k < len(levels):
+            number = np.full(len(hashes), -1, np.int64)
+            has = np.flatnonzero((state >= 0) & (numbers[0] >= 0))
+            number[has] = levels[k].find(state[has], numbers[0][has])
+            numbers.append(number)
     return first, numbers, states
 
 
-def _emit(keys: np.ndarray, bits: int):
-    """Blocks of distinct keys and their counts, one for each bucket."""
-    keys.sort()
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(keys))).astype(np.uint32)
-    keys = keys[at]
-    bucket = (V._mix(keys) >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    keys, n = keys[order], n[order]
-    edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-    return batch("bucket keys counts", np.arange(1 << bits), V.binary_array(keys.view(np.uint8), edges * 8), V.binary_array(n.view(np.uint8), edges * 4))
+def _count_words(batches):
+    """(key, n) of the words, summed in tasks."""
+    held, size = [], 0
+
+    def flush():
+        k, n = np.unique(np.concatenate(held), return_counts=True)
+        return batch("key n", k.view(np.int64), n)
+
+    for b in V.text_slices(batches):
+        held.append(tokens_of(b.column("text"))[0])
+        size += len(held[-1])
+        if size >= FLUSH:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
 
+def _count(words: Table, levels: list[Arcs], layout: Layout):
+    """Blocks of the next order's (state, word) pairs."""
 
-def _count(levels: list[Level], bits: int):
     def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
+        held, size = [], 0
         for b in V.text_slices(batches):
-            if not levels:
-                keys, _ = tokens_of(b.column("text"))
-            else:
-                _, numbers, states = walk(b.column("text"), levels)
-                has = np.flatnonzero((states[-1] >= 0) & (numbers[-1] >= 0))
-                keys = _pair(states[-1][has], numbers[0][has])
-            held.append(keys)
-            size += len(keys)
+            _, numbers, states = reach(b.column("text"), words, levels)
+            has = np.flatnonzero((states[-1] >= 0) & (numbers[-1] >= 0))
+            held.append((states[-1][has], numbers[0][has]))
+            size += len(has)
             if size >= FLUSH:
-                yield _emit(np.concatenate(held), bits)
+                yield layout.blocks(*(np.concatenate(x) for x in zip(*held)))
                 held, size = [], 0
         if size:
-            yield _emit(np.concatenate(held), bits)
+            yield layout.blocks(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
-def _merge(min_count: int):
-    """Sums of each bucket's keys (rows come by bucket): kept ones as (key, n); the last row of a bucket has the statistics."""
-
-    def total(keys, counts):
-        k = np.concatenate([np.frombuffer(x, np.uint64) for x in keys])
-        c = np.concatenate([np.frombuffer(x, np.uint32) for x in counts]).astype(np.int64)
-        order = np.argsort(k)
-        k, c = k[order], c[order]
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        at = np.flatnonzero(new)
-        k, c = k[at], np.add.reduceat(c, at) if len(at) else c
-        keep = c >= min_count
-        stats = np.array([len(k), c.sum(), (c == 1).sum(), (c == 2).sum()])
-        zero = np.zeros(int(keep.sum()), np.int64)
-        yield batch("key n types ones twos", k[keep].view(np.int64), c[keep], zero, zero, zero)
-        yield batch("key n types ones twos", np.zeros(1, np.int64), stats[1:2], stats[:1], stats[2:3], stats[3:])
+def first_layout(model: Model, counts: DataFrame) -> Layout:
+    """Ranges of words; a word that has as many tokens as a bucket has a range of its own, in several parts where it has more."""
+    half = max(1, BUCKET_TOKENS // 2)
+    edges = set(np.linspace(0, model.types, max(1, model.tokens // half) + 1, dtype=np.int64)[:-1].tolist())
+    hot = counts.where(F.col("n") > half).select("key", "n").collect()  # fewer than tokens / half
+    numbers = model.words.find(np.array([r.key for r in hot], np.int64).view(np.uint64)).tolist()
+    edges |= {w for h in numbers for w in (h, h + 1) if w < model.types}
+    lo = np.array(sorted(edges), np.int64)
+    parts = np.ones(len(lo), np.int64)
+    for h, r in zip(numbers, hot):
+        parts[np.searchsorted(lo, h)] = max(1, min(model.types, r.n // BUCKET_TOKENS))
+    return Layout(lo, parts, model.types, model.types)
 
-    def run(batches):
-        keys, counts, last = [], [], None
-        for b in batches:
-            for bucket, k, c in zip(b.column("bucket").to_pylist(), b.column("keys"), b.column("counts")):
-                if bucket != last and keys:
-                    yield from total(keys, counts)
-                    keys, counts = [], []
-                last = bucket
-                keys.append(k.as_buffer())
-                counts.append(c.as_buffer())
-        if keys:
-            yield from total(keys, counts)
 
-    return run
+def next_layout(level: Arcs, tokens: np.ndarray, types: int) -> Layout:
+    """Ranges of a level's arcs: its buckets, those of many tokens in several parts."""
+    has = np.flatnonzero(level.counts)
+    return Layout(level.before[has], np.clip(tokens[has] // (2 * BUCKET_TOKENS), 1, max(1, types)), len(level), types)
 
 
 def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Model:
     """The automaton of docs (text)."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    bits = max(1, int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-    model = Model(order, 0, 0, 1.0, [])
-    for k in range(1, order + 1):
-        blocks = texts.mapInArrow(_count(model.levels, bits), "bucket long, keys binary, counts binary")
-        blocks = blocks.where("length(keys) > 0").repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
-        merged = materialize(blocks.mapInArrow(_merge(min_count if k > 1 else 1), "key long, n long, types long, ones long, twos long"), f"grams{k}")
-        kept = merged.where("types = 0").select("key", "n")
-        s = merged.where("types > 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "types", "ones", "twos"))).first()
-        discount = s.ones / (s.ones + 2 * s.twos) if s.ones else 0.0
-        if k == 1:
-            model.tokens, model.types = s.n, s.types
-            model.unseen = discount * s.types / s.n if s.n else 1.0
-            p = (F.col("n") - discount) / max(1, s.n)
-            model.levels.append(Level(store(kept.withColumn("p", p), "words", {"n": "i8", "p": "f8"}), None))
-            release(spark, merged)
-            continue
-        below = model.levels[-1]
-        parts = kept.select(F.shiftrightunsigned("key", 32).alias("state"), "n").groupBy("state").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-
-        def backoff(batches, below=below, discount=discount):
-            for b in batches:
-                state = b.column("state").to_numpy()
-                used = (b.column("n").to_numpy() - discount * b.column("kinds").to_numpy()) / below.arcs.values(state, 1, "n")
-                yield batch("key value", V._mix(state.astype(np.uint64)).view(np.int64), np.maximum(1 - used, 1e-12))
-
-        below.back = back = store(parts.mapInArrow(backoff, "key long, value double"), f"back{k}", "f8")
-        words, lower = model.levels[0].arcs, below
-
-        top = k == order
-
-        def weigh(batches, lower=lower, back=back, discount=discount, first=k == 2, words=words, top=top):
-            for b in batches:
-                key, n = b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy()
-                state, word = (key >> _SHIFT).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                low = words.values(word, 0.0, "p") if first else lower.arcs.lookup(V._mix(_pair(lower.arcs.values(state, -1, "last"), word)), 0.0, "p")
-                p = (n - discount) / lower.arcs.values(state, 1, "n") + back.lookup(V._mix(state.astype(np.uint64)), 1.0) * low
-                if top:
-                    yield batch("key p", V._mix(key).view(np.int64), p)
-                    continue
-                last = word if first else lower.arcs.find(V._mix(_pair(lower.arcs.values(state, -1, "last"), word)))
-                yield batch("key n p last", V._mix(key).view(np.int64), n, p, last)
-
-        columns = {"p": "f8"} if top else {"n": "i8", "p": "f8", "last": "i8"}
-        schema = "key long, p double" if top else "key long, n long, p double, last long"
-        model.levels.append(Level(store(kept.mapInArrow(weigh, schema), f"arcs{k}", columns), None))
-        release(spark, merged)
+    model = Model(order)
+    counts = materialize(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "word-counts")
+    one, two = (F.coalesce(F.sum((F.col("n") == j).cast("long")), F.lit(0)) for j in (1, 2))
+    s = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types"), one.alias("ones"), two.alias("twos")).first()
+    model.tokens, model.types = s.n, s.types
+    model.words = store(counts, "words", {"n": "i8"})
+    model.discounts.append(s.ones / (s.ones + 2 * s.twos) if s.ones else 0.0)
+    if not model.tokens:
+        return model
+    layout = first_layout(model, counts)
+    for k in range(2, order + 1):
+        uri = fresh_dir(spark, f"arcs{k}")
+        fs, path = open_fs(uri)
+        fs.create_dir(path, recursive=True)
+        blocks = texts.mapInArrow(_count(model.words, model.levels, layout), "bucket long, keys binary, counts binary")
+        merged = blocks.repartition(len(layout), "bucket").sortWithinPartitions("bucket").mapInArrow(layout.merge(uri, min_count), "bucket long, kept long, tokens long, ones long, twos long")
+        stats = merged.toPandas()  # one row a bucket
+        kept, tokens = (np.bincount(stats["bucket"], stats[c], len(layout)).astype(np.int64) for c in ("kept", "tokens"))
+        ones, twos = stats["ones"].sum(), stats["twos"].sum()
+        model.levels.append(Arcs(uri, layout, kept, min_count))
+        model.discounts.append(float(ones / (ones + 2 * twos)) if ones else 0.0)
+        if not kept.any():
+            break
+        layout = next_layout(model.levels[-1], tokens, model.types)
     return model
 
 
-def log_probabilities(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, log10 weight of each token, count of each token in training)."""
-    first, numbers, states = walk(texts, model.levels)
-    out = np.zeros(len(numbers[0]))
-    open_ = np.ones(len(out), bool)
-    for k in range(len(model.levels) - 1, 0, -1):  # from the longest context down the failure arcs
-        arc = numbers[k]
-        take = np.flatnonzero(open_ & (arc >= 0))
-        out[take] += np.log10(model.levels[k].arcs.values(arc[take], 1.0, "p"))
-        open_[take] = False
-        fail = np.flatnonzero(open_ & (states[k - 1] >= 0))
-        out[fail] += np.log10(model.levels[k - 1].back.lookup(V._mix(states[k - 1][fail].astype(np.uint64)), 1.0))
-    known = numbers[0] >= 0
-    words = model.levels[0].arcs
-    take = np.flatnonzero(open_ & known)
-    out[take] += np.log10(words.values(numbers[0][take], 1.0, "p"))
-    out[open_ & ~known] += np.log10(model.unseen) if model.unseen > 0 else np.log10(1 / (model.tokens + model.types + 1))
-    return first, out, words.values(numbers[0], 0, "n")
+@dataclass
+class Reached:
+    """The part of the automaton that a slice of texts can reach: by order, whether an arc leaves the state of the words before each token with it,
+    the arcs' log10 weights, and the log10 weights of these states' failure arcs; and each token's count."""
+
+    first: np.ndarray
+    has: list[np.ndarray]
+    weight: list[np.ndarray]
+    fail: list[np.ndarray]
+    count: np.ndarray
+
+
+def fetch(texts: pa.Array, model: Model) -> Reached:
+    first, numbers, states = reach(texts, model.words, model.levels)
+    count = model.words.values(numbers[0], 0, "n")
+    p = np.where(numbers[0] >= 0, (count - model.discounts[0]) / max(1, model.tokens), model.unseen)
+    p = np.where(p > 0, p, model.unseen)
+    out = Reached(first, [np.ones(len(p), bool)], [np.log10(p)], [np.zeros(len(p))], count)
+    for k, level in enumerate(model.levels):
+        state, arc, d = states[k], numbers[k + 1], model.discounts[k + 1]
+        distinct, back = np.unique(state, return_inverse=True)
+        real = np.flatnonzero(distinct >= 0)
+        seen = np.ones(len(distinct), np.int64)
+        seen[real] = model.words.values(distinct[real], 0, "n") if k == 0 else model.levels[k - 1].n(distinct[real])
+        kinds, follow = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        kinds[real], follow[real] = level.leaving(distinct[real])
+        follow = np.where(follow < 0, seen, follow)
+        fail = np.where(kinds > 0, np.maximum(1 - (follow - d * kinds) / np.maximum(1, seen), 1e-12), 1.0)[back]
+        has = arc >= 0
+        p = np.where(has, np.maximum(level.n(arc) - d, 0) / np.maximum(1, seen)[back], 0) + fail * p
+        out.has.append(has)
+        out.weight.append(np.log10(p))
+        out.fail.append(np.log10(fail))
+    return out
+
+
+def traverse(part: Reached, stretch: int | None = None) -> np.ndarray:
+    """log10 probability of each row: a walk from left to right that carries each row's state (how many words of context it has)."""
+    stretch, top = stretch or STRETCH, len(part.has) - 1
+    rows = len(part.first) - 1
+    size = np.diff(part.first)
+    pieces = -(-size // stretch)
+    row = np.repeat(np.arange(rows), pieces)
+    begin = part.first[row] + stretch * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    end = np.minimum(begin + stretch, part.first[row + 1])
+    at = np.maximum(begin - top, part.first[row])
+    state = np.where(at == part.first[row], min(1, top), 0)  # a text's start is the context of its end mark
+    order = np.argsort(at - end, kind="stable")  # longest first, so that those still under way come first
+    row, begin, end, at, state = row[order], begin[order], end[order], at[order], state[order]
+    length, total = end - at, np.zeros(len(row))
+    for t in range(int(length[0]) if len(length) else 0):
+        n = int(np.searchsorted(-length, -t, "left"))
+        here, now = at[:n] + t, state[:n].copy()
+        gain = np.zeros(n)
+        for k in range(top, 0, -1):
+            fails = np.flatnonzero((now == k) & ~part.has[k][here])
+            gain[fails] += part.fail[k][here[fails]]
+            now[fails] = k - 1
+        for k in range(top + 1):
+            takes = np.flatnonzero(now == k)
+            gain[takes] += part.weight[k][here[takes]]
+        state[:n] = np.minimum(np.where(part.count[here] > 0, now + 1, 0), top)
+        total[:n] += np.where(here >= begin[:n], gain, 0)
+    return np.bincount(row, total, rows)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -250,10 +251,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in V.text_slices(batches):
-            first, logs, count = log_probabilities(b.column("text"), model)
-            base = np.log10((count + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
-            at = first[:-1]
-            yield batch("doc_id n_tokens n_known base_score score", b.column("doc_id"), np.diff(first), np.add.reduceat((count > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(logs, at))
+            part = fetch(b.column("text"), model)
+            base = np.log10((part.count + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+            at = part.first[:-1]
+            yield batch("doc_id n_tokens n_known base_score score", b.column("doc_id"), np.diff(part.first), np.add.reduceat((part.count > 0).astype(np.int64), at), np.add.reduceat(base, at), traverse(part))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
@@ -261,5 +262,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out(F.col("doc_id"), 10, 0)
-    model = train(docs.where(~out), min_count=QUERY_MIN_COUNT)
+    model = train(docs.where(~out))
     return score(docs, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

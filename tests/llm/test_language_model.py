@@ -60,14 +60,14 @@ class Brute:
         return total
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_against_dictionaries(spark, order):
+@pytest.mark.parametrize("order,least", [(2, 2), (3, 2), (4, 2), (2, 1), (3, 1), (4, 1)])
+def test_against_dictionaries(spark, order, least):
     rnd = random.Random(order)
     texts = [" ".join(rnd.choice("a b c d É the The x1 x2 x3".split() + [f"r{rnd.randrange(200)}"]) for _ in range(rnd.randrange(40))) for _ in range(60)]
     texts += [None, "", " \n", texts[3], "a b " * 300]
     train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    model = L.train(train, order)
-    own = Brute(texts, order, 2)
+    model = L.train(train, order, least)
+    own = Brute(texts, order, least)
     assert (model.tokens, model.types) == (own.n, own.v)
     asked = [*texts[:20], "zzz yyy a b c", None, "a b c d zzz a b"]
     docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
@@ -108,3 +108,45 @@ def test_query_keeps_ngrams_seen_once(spark, tmp_path):
     assert len(got) == len(texts) and any(r.held_out for r in got)
     for r in got:
         assert r.score == pytest.approx(own.score(texts[r.doc_id], 3), rel=1e-9)
+
+
+def test_small_buckets_flushes_and_stretches(spark, monkeypatch):
+    """Hot words in several parts, many buckets, and long texts in stretches give the same scores."""
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice(["the", "the", f"w{rnd.randrange(30)}", f"r{rnd.randrange(300)}"]) for _ in range(rnd.randrange(1, 400))) for _ in range(40)]
+    own = Brute(texts, 3, 1)
+    monkeypatch.setattr(L, "BUCKET_TOKENS", 300)
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    model = L.train(train, 3)
+    assert model.levels[0].layout.parts.max() > 1 and len(model.levels[0].layout) > 10
+    docs = spark.createDataFrame([(i, t, "x", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, held_out string, score double")
+    for r in L.score(docs, model).collect():
+        assert r.score == pytest.approx(own.score(texts[r.doc_id], 3), rel=1e-9)
+    import pyarrow as pa
+
+    part = L.fetch(pa.array(texts + ["never seen the w1 the", None]), model)
+    for stretch in (1, 2, 7):
+        assert np.allclose(L.traverse(part, stretch), L.traverse(part))
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(12)
+    text = " ".join(rnd.choice(["A", "b", f"x{rnd.randrange(50)}"]) for _ in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.score(docs, L.train(docs)).collect()}
+    own = Brute([text, "a b"], 3, 1)
+    assert got[1].n_tokens == 60_001 and got[1].score == pytest.approx(own.score(text, 3), rel=1e-9)
+
+
+def test_files_that_cannot_be_mapped(spark, tmp_path, monkeypatch):
+    """Without maps, files are read whole and the last used ones are kept, up to a number of bytes."""
+    from termloom.llm import _tables as T
+
+    for i in range(6):
+        np.arange(1000, dtype=np.int64).tofile(tmp_path / f"{i}.key")
+    monkeypatch.setattr(T, "_local", lambda uri: None)
+    monkeypatch.setattr(T, "HELD_BYTES", 20_000)
+    files = T.Files(f"file://{tmp_path}")
+    for i in [0, 1, 2, 3, 4, 5, 0, 5]:
+        assert files.read(f"{i}.key", np.int64)[7] == 7
+    assert len(files._held) <= 3 and files._bytes <= 24_000
