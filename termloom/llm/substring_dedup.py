@@ -2,16 +2,17 @@
 
 Windows of 35 words are the edges of a De Bruijn graph whose nodes are the 34 words that neighbouring windows share.
 
-1. Consecutive windows with the same minimizer (the smallest hash of 16 words in them) make a path of at most 20 edges. Equal windows have
-   equal minimizers at equal places, so paths are counted by (minimizer, content) only; pre-aggregated in every task.
-2. A path whose content occurs again repeats whole. Where a minimizer has several contents, the single windows of these are counted too.
-3. Repeated paths that follow each other without branching are compacted through joins (unitigs: each path has one successor and its
-   successor one predecessor, occurring equally often).
-4. Source coordinates verify them: all occurrences of a path have to agree in a second, independent hash of their words as well; a compacted span
-   holds if all its paths do.
-5. A last pass over the documents removes the words that a repeated window covers.
-
-What passes 2 and 5 look up is in sorted tables in the shared folder, mapped by executors: no window travels to the driver and nothing is broadcast.
+1. Consecutive windows with the same minimizer (the smallest hash of 16 words in them) are an unbranched run of at most 20 edges, one path. Equal windows
+   have equal minimizers at equal places, so paths are counted by content; pre-aggregated in every task. A path whose content occurs again repeats
+   whole. Where a minimizer has several contents, the single windows of these are edges of their own and are counted too.
+2. Compaction: repeated paths follow each other in the sources. Joins of these links with both ends' counts find the links without a branch, those that
+   occur as often as either end. A path that no such link leads to is the head of a span; the others continue the span of their predecessor.
+3. Source coordinates: at every place of a head, the source is cut into the span from there to the next head or the last repeated path. The span's place, its
+   length and a second, independent hash of its very words are counted; spans of equal head and equal hashes are the same words.
+4. A last pass over the documents cuts them into spans again and removes those that occur at least twice by step 3, and the repeated single windows.
+
+What the passes look up is in sorted tables in the shared folder, mapped by executors: no window travels to the driver and nothing is broadcast. Counts are
+summed in tasks and then by Spark on the whole key, so a minimizer of many contents (boilerplate with a varying field) is no hot group.
 
 Defined cases: null and empty texts have no words and keep none; texts of fewer than 35 words lose nothing; a window that recurs in its own document
 counts as repeated; repeated rows repeat each other's windows; an empty table gives an empty result. Only doc_id and text are read. A very long text is worked
@@ -20,23 +21,23 @@ on whole.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.plans.shared import materialize
+from termloom.plans.shared import materialize, release
 
 from . import _vec as V
 from ._spark import batch, table
 from ._tables import Table, store
-from .components import connected_components
 
 WINDOW, MINIMIZER = 35, 16
 #: Rows that a task gathers before it passes on what it has aggregated.
 FLUSH = 1 << 21
 _POS = 26
-FULL, SINGLE = 1, 2
 
 
 class Paths:
@@ -75,6 +76,10 @@ class Paths:
     def contents(self, seed: int = 0, words: np.ndarray | None = None) -> np.ndarray:
         return V.span_hashes(self.words if words is None else words, self.start, self.start + self.n + self.window - 1, seed)
 
+    def adjacent(self) -> np.ndarray:
+        """Whether each path but the first follows the one before it in the same text."""
+        return self.start[1:] == self.start[:-1] + self.n[:-1]
+
     def second(self) -> np.ndarray:
         return V.hash_spans(self.data, self.starts, self.ends, seed=1)
 
@@ -93,17 +98,16 @@ def _sum_by(keys: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _count_paths(window: int, minimizer: int):
     def flush(parts):
-        key, content, second = (np.concatenate(x) for x in zip(*parts))
-        # equal contents have equal keys; a content whose second hashes differ stays apart and is found out later
-        rep, n = _sum_by([content, second], np.ones(len(key), np.int64))
-        return batch("key content second n", key[rep].view(np.int64), content[rep].view(np.int64), second[rep].view(np.int64), n)
+        key, content = (np.concatenate(x) for x in zip(*parts))
+        rep, n = _sum_by([content], np.ones(len(key), np.int64))  # equal contents have equal keys
+        return batch("key content n", key[rep].view(np.int64), content[rep].view(np.int64), n)
 
     def run(batches):
         parts, held = [], 0
         for b in V.text_slices(batches):
             p = Paths(b.column("text"), window, minimizer)
             if len(p.start):
-                parts.append((p.key, p.contents(), p.contents(1, p.second())))
+                parts.append((p.key, p.contents()))
                 held += len(p.start)
             if held >= FLUSH:
                 yield flush(parts)
@@ -114,7 +118,18 @@ def _count_paths(window: int, minimizer: int):
     return run
 
 
-def _windows_and_links(window: int, minimizer: int, flags: Table):
+@dataclass
+class Repeats:
+    """What is known of repeats: paths that occur again, minimizers of several contents, and, when found, heads, spans and single windows."""
+
+    paths: Table
+    several: Table
+    follows: Table | None = None  # paths that continue a span
+    spans: Table | None = None  # spans that occur again
+    windows: Table | None = None  # windows that occur again, with their second hash
+
+
+def _windows_and_links(window: int, minimizer: int, known: Repeats):
     """Windows of paths whose minimizer has several contents (kind 0), and successions of repeated paths (kind 1)."""
 
     def flush(windows, links):
@@ -137,18 +152,16 @@ def _windows_and_links(window: int, minimizer: int, flags: Table):
             if not len(p.start):
                 continue
             content = p.contents()
-            f = flags.lookup(content)
-            full = (f & FULL) > 0
-            next_to = np.flatnonzero(full[:-1] & full[1:] & (p.start[1:] == p.start[:-1] + p.n[:-1]))
+            full = known.paths.find(content) >= 0
+            next_to = np.flatnonzero(full[:-1] & full[1:] & p.adjacent())
             if len(next_to):
                 links.append((content[next_to], content[next_to + 1]))
                 held += len(next_to)
-            probe = np.flatnonzero((f & SINGLE) > 0)
+            probe = np.flatnonzero(known.several.find(p.key) >= 0)
             if len(probe):
                 at = V.ragged(p.start[probe], p.n[probe])
                 n = np.where(np.repeat(full[probe], p.n[probe]), 2, 1)
-                second = p.second()
-                windows.append((V.span_hashes(p.words, at, at + window), V.span_hashes(second, at, at + window, 1), n))
+                windows.append((V.span_hashes(p.words, at, at + window), V.span_hashes(p.second(), at, at + window, 1), n))
                 held += len(at)
             if held >= FLUSH:
                 yield from flush(windows, links)
@@ -158,17 +171,58 @@ def _windows_and_links(window: int, minimizer: int, flags: Table):
     return run
 
 
-def repeated_words(p: Paths, flags: Table, singles: Table) -> np.ndarray:
+def spans_of(p: Paths, known: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, identity) of the compacted spans of a slice, in words, and which paths are repeated.
+
+    A span begins at a head and runs over the adjacent repeated paths that continue it; its identity is a hash of the head, its length and the second hash of its words."""
+    content = p.contents()
+    full = known.paths.find(content) >= 0
+    led = np.zeros(len(full), bool)  # a repeated path is right before it
+    led[1:] = full[:-1] & p.adjacent()
+    head = full & ((known.follows.find(content) < 0) | ~led)
+    begins = np.flatnonzero(head)
+    if not len(begins):
+        z = np.zeros(0, np.int64)
+        return z, z, z.view(np.uint64), full
+    goes_on = full & ~head
+    stops = np.flatnonzero(np.append(~goes_on[1:], True))
+    last = stops[np.searchsorted(stops, begins)]
+    start, end = p.start[begins], p.start[last] + p.n[last] + p.window - 1
+    own = V._mix(content[begins] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return start, end, V._mix(own ^ V.span_hashes(p.second(), start, end, 1)), full
+
+
+def _count_spans(window: int, minimizer: int, known: Repeats):
+    def run(batches):
+        held, size = [], 0
+        for b in V.text_slices(batches):
+            held.append(spans_of(Paths(b.column("text"), window, minimizer), known)[2])
+            size += len(held[-1])
+            if size >= FLUSH:
+                k, n = np.unique(np.concatenate(held), return_counts=True)
+                yield batch("key n", k.view(np.int64), n)
+                held, size = [], 0
+        if size:
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            yield batch("key n", k.view(np.int64), n)
+
+    return run
+
+
+def repeated_words(p: Paths, known: Repeats) -> np.ndarray:
     """Which words a repeated window covers."""
-    f = flags.lookup(p.contents())
+    start, end, identity, full = spans_of(p, known)
     cover = np.zeros(len(p.words) + 1, np.int64)
-    whole = np.flatnonzero(f & FULL)
-    np.add.at(cover, p.start[whole], 1)
-    np.add.at(cover, p.start[whole] + p.n[whole] + p.window - 1, -1)
-    probe = np.flatnonzero(f == SINGLE)
+    again = np.flatnonzero(known.spans.find(identity) >= 0)
+    np.add.at(cover, start[again], 1)
+    np.add.at(cover, end[again], -1)
+    probe = np.flatnonzero(~full)
+    probe = probe[known.several.find(p.key[probe]) >= 0]
     at = V.ragged(p.start[probe], p.n[probe])
     if len(at):
-        at = at[singles.lookup(V.span_hashes(p.words, at, at + p.window)) > 0]
+        number = known.windows.find(V.span_hashes(p.words, at, at + p.window))
+        at, number = at[number >= 0], number[number >= 0]
+        at = at[known.windows.values(number, 0) == V.span_hashes(p.second(), at, at + p.window, 1).view(np.int64)]
         np.add.at(cover, at, 1)
         np.add.at(cover, at + p.window, -1)
     return np.cumsum(cover[:-1]) > 0
@@ -193,11 +247,11 @@ def _kept_text(p: Paths, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data[take], np.concatenate([[0], np.cumsum(length)])
 
 
-def _remove(window: int, minimizer: int, flags: Table, singles: Table):
+def _remove(window: int, minimizer: int, known: Repeats):
     def run(batches):
         for b in V.text_slices(batches):
             p = Paths(b.column("text"), window, minimizer)
-            gone = repeated_words(p, flags, singles)
+            gone = repeated_words(p, known)
             data, offs = _kept_text(p, ~gone)
             total = np.concatenate([[0], np.cumsum(gone)])
             yield batch("doc_id n_words n_removed text", b.column("doc_id"), np.diff(p.first), total[p.first[1:]] - total[p.first[:-1]], V.binary_array(data, offs, pa.string()))
@@ -205,52 +259,55 @@ def _remove(window: int, minimizer: int, flags: Table, singles: Table):
     return run
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> tuple[Table, Table, DataFrame]:
-    """(flags of paths, repeated single windows, compacted spans) of a table with ``text``."""
-    texts = docs.where("text is not null").select("text")
-    paths = texts.mapInArrow(_count_paths(window, minimizer), "key long, content long, second long, n long").repartition("key")
-    paths = paths.groupBy("key", "content").agg(F.sum("n").alias("n"), (F.min("second") == F.max("second")).alias("agree"))
-    by_key = paths.groupBy("key").agg(F.count("*").alias("contents"))
-    known = paths.join(by_key, "key").where("n > 1 or contents > 1")
-    full = (F.col("n") > 1) & F.col("agree")
-    known = materialize(known.select(F.col("content").alias("key"), "n", "agree", (F.when(full, FULL).otherwise(0) + F.when(F.col("contents") > 1, SINGLE).otherwise(0)).cast("tinyint").alias("value")), "paths")
-    first = store(known.select("key", "value"), "path-flags", "i1")
-    seen = texts.mapInArrow(_windows_and_links(window, minimizer, first), "kind byte, a long, b long, n long, m long")
-    seen = materialize(seen, "path-windows")
-    windows = seen.where("kind = 0").groupBy("a").agg(F.sum("n").alias("n"), F.max("m").alias("m"), (F.min("b") == F.max("b")).alias("agree"))
-    singles = store(windows.where("n > 1 and m > 0 and agree").select(F.col("a").alias("key"), F.lit(1).cast("tinyint").alias("value")), "windows", "i1")
-    spans = compact(seen.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n")), known.where(F.expr(f"value & {FULL} > 0")).select(F.col("key").alias("path"), "n", "agree"))
-    spans = materialize(spans, "spans")
-    # a path holds if the whole span that it was compacted into does
-    held = known.join(spans.select(F.col("path").alias("key"), "verified"), "key", "left")
-    value = F.when(F.expr(f"value & {FULL} > 0") & ~F.coalesce("verified", F.lit(False)), F.col("value") - FULL).otherwise(F.col("value"))
-    flags = store(held.select("key", value.cast("tinyint").alias("value")), "span-flags", "i1")
-    return flags, singles, spans
-
-
 def compact(links: DataFrame, paths: DataFrame) -> DataFrame:
-    """(path, span, n, verified): repeated paths and the non-branching span that each belongs to.
+    """The paths that continue a span: a link without a branch leads to them.
 
-    ``links`` (a, b, n) count how often path b follows path a; ``paths`` (path, n, agree) count occurrences.
+    ``links`` (a, b, n) count how often path b follows path a; ``paths`` (path, n) count occurrences. A link that occurs as often as both of its ends is
+    the only way out of the one and the only way into the other.
     """
-    links = materialize(links, "path-links")
-    out = links.groupBy(F.col("a").alias("x")).agg(F.count("*").alias("next"))
-    into = links.groupBy(F.col("b").alias("y")).agg(F.count("*").alias("before"))
-    one_way = links.join(out.where("next = 1"), F.col("a") == F.col("x")).join(into.where("before = 1"), F.col("b") == F.col("y")).select("a", "b", F.col("n").alias("k"))
     na, nb = paths.select(F.col("path").alias("a"), F.col("n").alias("n_a")), paths.select(F.col("path").alias("b"), F.col("n").alias("n_b"))
-    joined = one_way.join(na, "a").join(nb, "b").where("k = n_a and k = n_b").select("a", "b")
-    label = connected_components(joined).select(F.col("node").alias("path"), F.col("component").alias("span"))
-    own = paths.join(label, "path", "left").select("path", F.coalesce("span", "path").alias("span"), "n", "agree")
-    verified = own.groupBy("span").agg(F.min("agree").alias("verified"))
-    return own.join(verified, "span").select("path", "span", "n", "verified")
+    return links.join(na, "a").where("n = n_a").join(nb, "b").where("n = n_b").select(F.col("b").alias("path"))
+
+
+def find_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> Repeats:
+    """Repeated spans and windows of a table with ``text``."""
+    spark, texts = docs.sparkSession, docs.where("text is not null").select("text")
+    paths = texts.mapInArrow(_count_paths(window, minimizer), "key long, content long, n long")
+    paths = materialize(paths.groupBy("content").agg(F.sum("n").alias("n"), F.first("key").alias("key")), "paths")
+    again = paths.where("n > 1").select(F.col("content").alias("key"), "n")
+    several = paths.groupBy("key").agg(F.count("*").alias("contents")).where("contents > 1").select("key")
+    known = Repeats(store(again, "repeated-paths", {}), store(several, "minimizers", {}))
+    seen = materialize(texts.mapInArrow(_windows_and_links(window, minimizer, known), "kind byte, a long, b long, n long, m long"), "path-windows")
+    windows = seen.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("m").alias("m")).where("n > 1 and m > 0")
+    windows = windows.groupBy(F.col("a").alias("key")).agg(F.max_by("b", F.struct("n", "b")).alias("value"))  # one for each first hash
+    known.windows = store(windows, "windows", "i8")
+    links = seen.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    known.follows = store(compact(links, again.select(F.col("key").alias("path"), "n")).select(F.col("path").alias("key")), "followers", {})
+    release(spark, seen)
+    release(spark, paths)
+    spans = texts.mapInArrow(_count_spans(window, minimizer, known), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    known.spans = store(spans.select("key"), "spans", {})
+    return known
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the kept words as text."""
-    flags, singles, _ = find_repeats(docs, window, minimizer)
-    return docs.select("doc_id", "text").mapInArrow(_remove(window, minimizer, flags, singles), "doc_id long, n_words long, n_removed long, text string")
+    known = find_repeats(docs, window, minimizer)
+    return docs.select("doc_id", "text").mapInArrow(_remove(window, minimizer, known), "doc_id long, n_words long, n_removed long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+with d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select r, s, array_to_string(w[s:s + 34], ' ') as t from (select r, w, unnest(generate_series(1, len(w) - 34)) as s from d)),
+again as (select t from win group by t having count(*) > 1),
+gone as (select distinct r, unnest(generate_series(s, s + 34)) as p from win semi join again using (t)),
+words as (select r, unnest(w) as x, unnest(generate_series(1, len(w))) as p from d),
+kept as (select r, string_agg(x, ' ' order by p) as t from words anti join gone using (r, p) group by r),
+n as (select r, count(*) as n from gone group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join n using (r) left join kept using (r)
+"""
