@@ -2,7 +2,7 @@
 
 1. Every document gets the set of its distinct five-word shingles (64-bit hashes), a 128-bit digest of the set and 80 minimum hashes.
    Documents of equal sets fall together by digest, so copies are never compared.
-2. Distinct sets meet in 20 bands of 4 hashes; a pair of similarity 0.85 misses all of them with probability 4e-7.
+2. Distinct sets meet in 20 bands of 4 hashes; a pair of similarity 0.85 misses all of them with probability 4e-7, one of 0.8 with 3e-5.
 3. First each set is compared with one centre, the smallest set of its buckets. Confirmed pairs are joined to components. Only buckets that
    still hold several components are compared further, only across components, in blocks of bounded size.
 4. A comparison reads the two signatures batch by batch and drops the pair once the posterior probability (uniform prior) of a similarity of
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from termloom.plans.shared import materialize
 
 from . import _vec as V
-from ._spark import batch, row_key, table
+from ._spark import LOWER, UPPER, batch, row_key, table
 from .components import connected_components
 
-SHINGLE, PERCENT = 5, 85
+#: Links hold from 0.8 on unless a caller says otherwise; the query's contract says 0.85.
+SHINGLE, PERCENT, PERCENT_OP9 = 5, 80, 85
 BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
 STEP, MISS = 16, 1e-7
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), PERCENT_OP9).drop("text_key")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -281,3 +282,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, text = row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.select(*[docs[c] for c in docs.columns], key, text)
     return keyed.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t")), "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+
+
+ORACLE = rf"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sh as (select distinct doc_id, array_to_string(w[s:s + 4], ' ') as t from (select doc_id, w, unnest(generate_series(1, case when len(w) = 0 then 0 else greatest(len(w) - 4, 1) end)) as s from d)),
+size as (select doc_id, count(*) as n from sh group by doc_id),
+both_ as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.t = b.t and a.doc_id <> b.doc_id group by all),
+link as (select a, b from both_ join size x on x.doc_id = a join size y on y.doc_id = b where 100 * k >= {PERCENT_OP9} * (x.n + y.n - k)),
+reach(a, b) as (select doc_id, doc_id from d union select reach.a, link.b from reach join link on reach.b = link.a),
+c as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from d left join size using (doc_id) left join c using (doc_id)
+"""

@@ -22,6 +22,8 @@ QUERIES = {
 ORACLES = {
     "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op5_url_filters": url_filter.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
+    "op9_minhash_near_dedup": near_dedup.ORACLE,
 }
 
 

@@ -12,7 +12,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
 
-def brute(docs):
+def brute(docs, percent=85):
     sets = [shingles(t) for _, t in docs]
     par = list(range(len(docs)))
 
@@ -23,7 +23,7 @@ def brute(docs):
 
     for i in range(len(docs)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 par[find(i)] = find(j)
     comp = {}
     for i, (d, _) in enumerate(docs):
@@ -31,9 +31,9 @@ def brute(docs):
     return sorted((d, len(sets[i]), min(comp[find(i)]), d == min(comp[find(i)])) for i, (d, _) in enumerate(docs))
 
 
-def got(spark, docs):
+def got(spark, docs, percent=85):
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    return sorted(tuple(r) for r in N.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    return sorted(tuple(r) for r in N.near_duplicates(df, percent).select("doc_id", "n_shingles", "component_id", "kept").collect())
 
 
 def test_against_brute_force(spark):
@@ -47,6 +47,7 @@ def test_against_brute_force(spark):
     docs += [(900, None), (901, ""), (902, " \n\t "), (903, "One two"), (904, "one TWO"), (905, "one two three four five six"), (906, "É é"), (907, "é é")]
     rnd.shuffle(docs)
     assert got(spark, docs) == brute(docs)
+    assert got(spark, docs, N.PERCENT) == brute(docs, 80)
 
 
 def test_blocks_and_chain(spark, monkeypatch):

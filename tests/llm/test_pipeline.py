@@ -19,7 +19,7 @@ def test_stages_against_brute_force(spark, sf):
     scores = {r.doc_id: r.predicted for r in toxicity.query(spark, sf).collect()}
     kept = [{r.doc_id: r for r in d.collect()} for d in after]
     assert kept[0].keys() == {d for d, p in scores.items() if p == 0} and start.count() == len(scores)
-    components = brute([(d, r.text) for d, r in kept[0].items()])
+    components = brute([(d, r.text) for d, r in kept[0].items()], 80)
     assert kept[1].keys() == {d for d, _, _, keep in components if keep}
     found = decontaminate.decontaminate(after[1], spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert kept[2].keys() == {r.doc_id for r in found.collect() if not r.contaminated}
