@@ -6,8 +6,10 @@ strength of each prior is estimated by moments from the spread of the groups' ra
 blocked if the lower posterior bound of its host's bad rate exceeds a limit; a host without outcomes has the
 posterior of its nearest ancestor.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the
-overall rate. Repeated rows are judged alike. An empty outcome table blocks nothing beyond the rules. Columns of the
+Suffixes of several labels are read from ``suffixes.txt`` (a parameter). Counts by host are written to the shared folder once; the priors' strengths are four numbers.
+
+Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, counts for no host and is judged by the
+overall rate. Outcomes without a verdict (null) don't count; a null page id is passed through; urls of any length are read whole. Repeated rows are judged alike. An empty outcome table blocks nothing beyond the rules. Columns of the
 pages other than the url are passed through; ``host``, ``path``, ``rule``, ``verdict`` and ``bad_bound`` are ours and replace
 columns of those names. Everything is DataFrame operations: counts are aggregated before they are joined, and the one join
 against pages is salted, as one host may hold a third of them.
@@ -16,10 +18,13 @@ against pages is salted, as one host may hold a third of them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.plans.shared import materialize
+
 from ._spark import LOWER, UPPER, table
 
 
@@ -45,7 +50,7 @@ RULES = (
     Rule("block", "org/es/"),
 )
 #: Suffixes of more than one label; the last label is a suffix anyway.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "com.cn")
+SUFFIXES = tuple(Path(__file__).with_name("suffixes.txt").read_text().split())
 SALTS = 32
 LIMIT, Z = 0.5, 1.645
 #: The least strength of a prior: a host's own few outcomes never decide alone.
@@ -71,50 +76,61 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
 
 
 def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    out = F.element_at(F.split(host, r"\."), -1)
-    for s in suffixes:
-        out = F.when((host == s) | F.endswith(host, F.lit("." + s)), F.lit(s)).otherwise(out)
-    return out
+    """The last two labels if they are a suffix, else the last one."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
     """The registered domain: one label more than the suffix (the host itself if there is none)."""
-    left = F.element_at(F.split(F.expr("left(_h, greatest(length(_h) - length(_s) - 1, 0))"), r"\."), -1)
-    return F.when(F.length("_h") > F.length("_s"), F.concat_ws(".", left, F.col("_s"))).otherwise(F.col("_h"))
+    left = F.substring_index(F.left(host, F.greatest(F.length(host) - F.length(suffix) - 1, F.lit(0))), ".", -1)
+    return F.when(F.length(host) > F.length(suffix), F.concat_ws(".", left, suffix)).otherwise(host)
+
 
+def _strength(groups: DataFrame) -> float:
+    """Prior strength by moments from the groups' counts (n, bad), within [WEAKEST, 10000]."""
+    total = groups.agg(F.sum("n").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("bb")).first()
+    if total.k < 2:
+        return 10000.0
+    n, p = float(total.n), total.b / total.n
+    left = n - total.nn / n
+    between = (total.bb - n * p * p - (total.k - 1) * p * (1 - p)) / left if left > 0 else 0.0
+    return max(WEAKEST, min(10000.0, p * (1 - p) / between - 1)) if between > 0 else 10000.0
 
-def _strength(groups: DataFrame, key: str, n: str, bad: str) -> DataFrame:
-    """One row: prior strength by moments from the groups' counts, within [WEAKEST, 10000]."""
-    total = groups.agg(F.sum(n).alias("n"), F.sum(bad).alias("b"), F.count("*").alias("k"), F.sum(F.col(n) * F.col(n)).alias("nn"), F.sum(F.col(bad) * F.col(bad) / F.col(n)).alias("bb"))
-    p = F.col("b") / F.col("n")
-    between = (F.col("bb") - F.col("n") * p * p - (F.col("k") - 1) * p * (1 - p)) / (F.col("n") - F.col("nn") / F.col("n"))
-    k = F.when((F.col("k") < 2) | (F.col("n") <= F.col("nn") / F.col("n")) | (between <= 0), 10000.0).otherwise(F.greatest(F.lit(WEAKEST), F.least(F.lit(10000.0), p * (1 - p) / between - 1)))
-    return total.select(k.alias(key))
 
+@dataclass(frozen=True)
+class Reputation:
+    """Posterior means by host (``_h``, m, a), domain (``_d``, m_d) and suffix (``_s``, m_s), the mean of all, and the strength of a host's prior."""
+
+    hosts: DataFrame
+    domains: DataFrame
+    suffixes: DataFrame
+    overall: float
+    strength: float
 
-def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(by host, by domain, by suffix, overall): posterior mean ``m`` and strength ``a`` from outcomes (host, n, bad)."""
-    hosts = outcomes.withColumnsRenamed({"host": "_h"}).withColumn("_s", suffix_of(F.col("_h")))
-    hosts = hosts.withColumn("_d", domain_of(F.col("_h"), F.col("_s")))
+
+def reputation(outcomes: DataFrame) -> Reputation:
+    """From outcomes (host, n, bad), one row a host."""
+    hosts = outcomes.where("host != ''").withColumnsRenamed({"host": "_h"}).withColumn("_s", suffix_of(F.col("_h")))
+    hosts = materialize(hosts.withColumn("_d", domain_of(F.col("_h"), F.col("_s"))), "url-hosts")
     domains = hosts.groupBy("_d", "_s").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("_s").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
-    prior = _strength(hosts, "k_h", "n", "bad").crossJoin(_strength(domains, "k_d", "n", "bad")).crossJoin(_strength(suffixes, "k_s", "n", "bad")).crossJoin(whole)  # one row each
-    prior = F.broadcast(prior)
-    s = suffixes.crossJoin(prior).select("_s", ((F.col("bad") + F.col("k_s") * F.col("m0")) / (F.col("n") + F.col("k_s"))).alias("m_s"))
-    d = domains.crossJoin(prior).join(s, "_s").select("_d", ((F.col("bad") + F.col("k_d") * F.col("m_s")) / (F.col("n") + F.col("k_d"))).alias("m_d"))
-    h = hosts.crossJoin(prior).join(d, "_d").select("_h", ((F.col("bad") + F.col("k_h") * F.col("m_d")) / (F.col("n") + F.col("k_h"))).alias("m"), (F.col("n") + F.col("k_h")).alias("a"))
-    return h, d, s, prior
+    k_h, k_d, k_s = _strength(hosts), _strength(domains), _strength(suffixes)
+    whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    m0 = (whole.bad + 1) / (whole.n + 2)
+    s = suffixes.select("_s", ((F.col("bad") + k_s * m0) / (F.col("n") + k_s)).alias("m_s"))
+    d = domains.join(s, "_s").select("_d", ((F.col("bad") + k_d * F.col("m_s")) / (F.col("n") + k_d)).alias("m_d"))
+    h = hosts.join(d, "_d").select("_h", ((F.col("bad") + k_h * F.col("m_d")) / (F.col("n") + k_h)).alias("m"), (F.col("n") + k_h).alias("a"))
+    return Reputation(h, d, s, m0, k_h)
 
 
 def posterior(hosts: DataFrame, outcomes: DataFrame, z: float) -> DataFrame:
     """Lower posterior bound ``bad_bound`` of the bad rate of each distinct host."""
-    h, d, s, prior = reputation(outcomes)
+    r = reputation(outcomes)
     x = hosts.withColumn("_h", F.col("host")).withColumn("_s", suffix_of(F.col("host")))
     x = x.withColumn("_d", domain_of(F.col("_h"), F.col("_s")))
-    x = x.join(h, "_h", "left").join(d, "_d", "left").join(s, "_s", "left").crossJoin(prior)
-    mean = F.coalesce("m", "m_d", "m_s", "m0")
-    strength = F.coalesce("a", "k_h")
+    x = x.join(r.hosts, "_h", "left").join(r.domains, "_d", "left").join(r.suffixes, "_s", "left")
+    mean, strength = F.coalesce("m", "m_d", "m_s", F.lit(r.overall)), F.coalesce("a", F.lit(r.strength))
     return x.select("host", (mean - z * F.sqrt(mean * (1 - mean) / (strength + 1))).alias("bad_bound"))
 
 
@@ -148,6 +164,8 @@ _CASES = "\n".join(
 )
 _BLOCKS = ", ".join(f"'{r.text}'" for r in RULES if r.verdict == "block")
 
+_SUFFIXES = ", ".join(f"'{s}'" for s in SUFFIXES)
+
 
 def _sql_strength(name: str) -> str:
     return f"""(select case when count(*) < 2 or sum(n) <= sum(n * n) / sum(n) or v <= 0 then 10000.0 else greatest({WEAKEST}, least(10000.0, p * (1 - p) / v - 1)) end
@@ -159,11 +177,11 @@ with x as (
   select page_id, url, case when instr(url, '://') > 0 then translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), '{UPPER}', '{LOWER}') else '' end as host,
     case when instr(url, '://') > 0 then regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path
   from pages),
-y as (select *, string_split(host, '.')[-1] as s from x),
+y as (select *, case when regexp_extract(host, '[^.]*\.[^.]*$') in ({_SUFFIXES}) then regexp_extract(host, '[^.]*\.[^.]*$') else string_split(host, '.')[-1] end as s from x),
 z as (select *, case when length(host) > length(s) then string_split(left(host, length(host) - length(s) - 1), '.')[-1] || '.' || s else host end as d,
   case {_CASES} end as rule from y),
 l as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels group by doc_id),
-hosts as (select host, d, s, count(*)::double as n, sum(bad)::double as bad from z join l on page_id = doc_id group by all),
+hosts as (select host, d, s, count(*)::double as n, sum(bad)::double as bad from z join l on page_id = doc_id where host <> '' group by all),
 domains as (select d, s, sum(n) as n, sum(bad) as bad from hosts group by all),
 suffixes as (select s, sum(n) as n, sum(bad) as bad from domains group by all),
 prior as (select {_sql_strength('hosts')} as kh, {_sql_strength('domains')} as kd, {_sql_strength('suffixes')} as ks, (select (sum(bad) + 1) / (sum(n) + 2) from suffixes) as m0),
