@@ -9,6 +9,8 @@ The windows are broadcast if their measured size is below ``broadcast_bytes``; t
 stage without a shuffle of text. Beyond that, words are shuffled to the windows' prefix tokens and candidates are verified against
 their documents by a second join, both with adaptive splitting of skewed partitions.
 
+What is found is written to the shared folder, so that texts are scanned for it once.
+
 Defined cases: null and empty texts have no words and are never hit; items without words are never found; items with the same
 windows are all counted; repeated rows (same id and text) get the same result each; rows that share an id but not the text are
 kept apart; null ids are ids like any other. Only the named columns are read, so others may have any name.
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.plans.shared import materialize
+
 from ._spark import LOWER, UPPER, ascii_lower, row_key, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,7 +79,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_byt
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found, windows = matches(docs, items, width, broadcast_bytes)
-    found = found.distinct()
+    found = materialize(found.distinct(), "hits")
     covered = found.groupBy("__id", "__text", "start").agg(F.max("n").alias("n")).select("__id", "__text", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at")).distinct().groupBy("__id", "__text").agg(F.count("*").alias("n_hit"))
     ids = found.select("__id", "__text", "window").distinct().join(windows, "window").select("__id", "__text", F.col("item_id").cast("string").alias("item")).distinct()
     ids = ids.groupBy("__id", "__text").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("items"))
