@@ -2,7 +2,7 @@
 
 The pre-tokenizer's pattern always has a boundary before a space that a non-space character follows: no alternative runs over such a space
 other than as its first character. Cutting texts there and encoding each distinct piece once gives the ids of whole texts.
-Pieces are found on the raw bytes and told apart by Arrow's dictionary encoding; a bounded cache keeps what a worker has encoded.
+Pieces are found on the raw bytes and told apart by Arrow's dictionary encoding; a cache of a bounded number of bytes keeps what a worker has encoded.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ import pyarrow.compute as pc
 
 from . import _vec as V
 
-#: Pieces that a worker process remembers, unless told otherwise; then it starts anew.
-CACHE = 800_000
+#: Bytes of pieces and ids that a worker process remembers, unless told otherwise; then it starts anew. Longer pieces aren't remembered.
+CACHE, LONGEST = 192 << 20, 256
+#: Bytes of the objects around a remembered piece.
+_AROUND = 240
 
 #: Bytes that begin no white space character (lead bytes of U+0085, U+00A0 and U+1680 .. U+3000 are left out, which only makes pieces longer).
 _GOES_ON = np.zeros(256, bool)
@@ -31,6 +33,7 @@ class Pieces:
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], encode_text: Callable[[str], bytes], specials: list[str], most: int | None = None):
         self.encode, self.encode_text, self.specials, self.most = encode, encode_text, specials, most or CACHE
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of all rows, and where each row's begin."""
@@ -63,11 +66,15 @@ class Pieces:
         values = [cache.get(x) for x in found]
         missing = [i for i, v in enumerate(values) if v is None]
         if missing:
-            if len(cache) + len(missing) > self.most:
-                cache.clear()
             new = self.encode([found[i] for i in missing])
             for i, v in zip(missing, new):
                 values[i] = v
+                if len(found[i]) > LONGEST:
+                    continue
+                self.held += len(found[i]) + len(v) + _AROUND
+                if self.held > self.most:
+                    cache.clear()
+                    self.held = len(found[i]) + len(v) + _AROUND
                 cache[found[i]] = v
         flat = np.frombuffer(b"".join(values), np.uint32)
         size = np.fromiter(map(len, values), np.int64, len(values)) >> 2

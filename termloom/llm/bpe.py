@@ -32,8 +32,8 @@ from ._spark import batch, table
 
 #: Contractions, words, numbers, other characters, and white space but for one space before a word.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\z)|\p{White_Space}+".replace(r"\z", r"\Z"))
-#: Entries that a worker process keeps of the pair table and of encoded pieces.
-PAIRS, PIECES = 250_000, 350_000
+#: Entries that a worker process keeps of the pair table, and bytes of encoded pieces.
+PAIRS, PIECES = 250_000, 80 << 20
 
 
 def production_path() -> str:
@@ -87,7 +87,7 @@ class Vocabulary:
         for b, r in rank.items():
             self.automaton.add_word(b.decode("latin-1"), (len(b), r))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces = Pieces(self._encode_pieces, self._encode_with_specials, list(self.specials), PIECES)
         self.decode_table = offset_table(self.token_bytes)
         self.decimal_table = offset_table([b"%d," % i for i in range(len(self.token_bytes))])
@@ -96,10 +96,11 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging never joins across the border of token ranks a and b."""
-        got = self.pairs.get((a, b))
+        key = a << 32 | b
+        got = self.pairs.get(key)
         if got is not None:
             return got
-        key, joined, split = (a, b), self.joined, self.split
+        joined, split = self.joined, self.split
         limit = 1 << 60
         while True:
             both = joined.get((a, b))
