@@ -1,29 +1,30 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
-Training. Each labelled training row counts once for each distinct word that it holds. Rows are grouped by their smallest
-five-word shingle hash, and a group of copies weighs as one row, so that a text copied a thousand times does not
-make its ordinary words look toxic. A word's log-odds between toxic and clean rows has an informative Dirichlet prior in
-proportion to its overall frequency; words with a z-score above ``min_z`` form the lexicon (at most ``max_lexicon``, the
-strongest: a model parameter that bounds what is sent to executors). Any other word has a small negative score.
-
-Scoring. A linear scan finds all maximal scoring segments of a document (Ruzzo and Tompa). A segment of score S in a document of
-n words has the extreme-value statistic lambda*S - ln(K*n); lambda solves sum(p*exp(lambda*s)) = 1 for the clean
-background. The document's statistic is the sum over its significant segments. An isotonic fit over all training rows, from a
-histogram of fixed bins, turns the statistic into a probability.
-
-Defined cases: null and empty texts have no segments and get the score of that statistic (0); repeated rows count as rows; without any labelled
-training row every score is 0.5 and nothing is predicted toxic; other columns are not read. A very long text is scanned in one pass.
+Training. Each labelled training row counts once for each distinct word that it holds. Rows are grouped by their smallest five-word
+shingle hash, and a group of copies weighs as one row, so that a text copied a thousand times does not make its ordinary words look toxic. Two thirds of
+the groups teach the words, one third the calibration. Every word of the former gets its log-odds between toxic and clean rows under Dirichlet priors of ``prior``
+pseudo-rows, shared between the classes as their words are; its score is the lower posterior bound of that, ``z`` deviations below, so that a word that
+says nothing lowers a passage a little. A word never seen scores the bound of the prior alone. All words' scores lie in a sorted table in the shared folder.
+
+Scoring. A scan that is linear in the words finds all maximal scoring segments of a document (Ruzzo and Tompa, with links back to the nearest lower
+start). A segment of score S in a document of n words has the extreme-value statistic lambda*S - ln(K*n): lambda solves sum(p*exp(lambda*s)) = 1
+for the words of clean rows, K is the rate of segments in the clean rows of the calibration third. The document's statistic is the sum over its
+significant segments, those that clean rows of that length have less than 0.05 times. An isotonic fit over all calibration rows, from a histogram of fixed bins, turns it into a probability.
+
+Defined cases: null and empty texts have no segments and get the score of that statistic (0); repeated rows count as rows; where one of the two parts has no rows of
+a class, the calibration takes all labelled rows; without any labelled training row every score is 0.5 and nothing is predicted toxic; other columns are not read. A very
+long text is scanned in one pass.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,12 +34,18 @@ from . import _vec as V
 from ._spark import batch, held_out, table
 from ._tables import Table, store
 
-MAX_LEXICON = 100_000
-MIN_Z, MIN_ROWS, PRIOR = 3.5, 4, 0.01
-OTHER = -0.05
-SIGNIFICANT = 0.0
+#: Pseudo-rows of a word's prior, and deviations from its log-odds to their bound.
+PRIOR, Z = 20.0, 2.5
+#: One in so many groups of copies is for the calibration.
+CALIBRATE = 3
+#: Least statistic of a significant segment: clean rows of that length have less than 0.05 such segments.
+SIGNIFICANT = 3.0
 CUT = 0.7
 _BIN, _BINS = 0.25, 400
+#: Bins of word scores and of segment statistics.
+_SCORE_BIN, _TAIL_BIN = 0.01, 0.5
+#: Weighted segments of clean rows that the tail has to hold for K.
+_TAIL = 30
 
 #: All ASCII but letters and digits separates words here, so that punctuation doesn't hide a word.
 SEPARATORS = np.zeros(256, bool)
@@ -48,13 +55,23 @@ SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 @dataclass(frozen=True)
 class Model:
-    words: np.ndarray  # sorted hashes
-    scores: np.ndarray
+    table: Table | None  # a word's score
+    unknown: float
     lam: float
     log_k: float
     knots: np.ndarray  # statistic
     values: np.ndarray  # probability
 
+    @property
+    def words(self) -> np.ndarray:
+        """Hashes of the words that are telling by themselves (score from 1.5 on), read from the table; for inspection."""
+        if self.table is None:
+            return np.zeros(0, np.uint64)
+        at = np.arange(len(self.table))
+        scores = self.table.values(at, 0.0)
+        keys = [self.table._file(k, "key") for k in np.flatnonzero(self.table.counts)]
+        return np.concatenate([np.zeros(0, np.uint64), *keys])[scores >= 1.5]
+
 
 def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offs = V.buffers(texts)
@@ -102,13 +119,19 @@ def _groups(labels: Table):
     return run
 
 
+def _side(keys: np.ndarray) -> np.ndarray:
+    """Which groups of copies are for the calibration."""
+    return V._mix(keys ^ np.uint64(0x5BD1E995)) % np.uint64(CALIBRATE) == 0
+
+
 def _presence(labels: Table, sizes: Table):
-    """Weighted numbers of toxic and clean rows that hold a word."""
+    """Weighted numbers of toxic and clean rows that hold a word, outside the calibration."""
 
     def run(batches):
         for texts, toxic in _labelled(batches, labels):
             words, first = _hashes(texts)
-            weight = 1.0 / sizes.lookup(_group(_group_keys(words, first), toxic), 1)
+            keys = _group_keys(words, first)
+            weight = np.where(_side(keys), 0.0, 1.0 / sizes.lookup(_group(keys, toxic), 1))
             n = np.diff(first)
             doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
             order = np.lexsort((words, doc))
@@ -116,73 +139,112 @@ def _presence(labels: Table, sizes: Table):
             new = np.ones(len(w), bool)
             new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
             w, d = w[new], d[new].astype(np.int64)
+            w, d = w[weight[d] > 0], d[weight[d] > 0]
             u, inv = np.unique(w, return_inverse=True)
             yield batch("word t c", u.view(np.int64), np.bincount(inv, weight[d] * (toxic[d] == 1), len(u)), np.bincount(inv, weight[d] * (toxic[d] != 1), len(u)))
 
     return run
 
 
-def segments(scores: np.ndarray, at: np.ndarray, other: float = OTHER) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of a sequence in which positions ``at`` (ascending) have the positive ``scores`` and all
-    others score ``other`` < 0: (start, end, score), end exclusive. Linear in the number of positive positions."""
-    stack: list[list[float]] = []  # start, end, left cumulative, right cumulative
-    total, last = 0.0, -1
-    for p, s in zip(at.tolist(), scores.tolist()):
-        total += other * (p - last - 1)
-        last = p
-        seg = [p, p + 1, total, total + s]
-        total += s
+def segments(scores: np.ndarray, at: np.ndarray, other: float | np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of a sequence in which positions ``at`` (ascending) have the positive ``scores``: (start, end, score), end exclusive.
+
+    All others score ``other`` <= 0, or ``other`` has the sum of all scores before each of the positions. Each segment links to the nearest one before it
+    that begins lower, so that the list is never searched twice: the time is linear in the positions."""
+    if not isinstance(other, np.ndarray):
+        own = np.concatenate([[0.0], np.cumsum(scores)])[:-1]
+        other = own + other * (at - np.arange(len(at)))
+    begin, end, left, right, link = [], [], [], [], []
+    for p, low, high in zip(at.tolist(), other.tolist(), (other + scores).tolist()):
+        a, j = p, len(begin) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= seg[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= seg[3]:
-                stack.append(seg)
+            while j >= 0 and left[j] >= low:
+                j = link[j]
+            if j < 0 or right[j] >= high:
                 break
-            seg = [stack[j][0], seg[1], stack[j][2], seg[3]]
-            del stack[j:]
-    return [(int(a), int(b), r - left) for a, b, left, r in stack]
-
-
-def passages(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-    """Statistic of each row, and its significant passages as (first word, end word, extreme-value statistic)."""
+            a, low = begin[j], left[j]  # it grows to the left, over all segments from j on
+            del begin[j:], end[j:], left[j:], right[j:]
+            j = link[j]
+            del link[len(begin) :]
+        begin.append(a)
+        end.append(p + 1)
+        left.append(low)
+        right.append(high)
+        link.append(j)
+    return list(zip(begin, end, [r - x for r, x in zip(right, left)]))
+
+
+def scored_segments(texts: pa.Array, model: Model):
+    """(number of words of each row, (row, start, end, score) of all maximal segments)."""
     words, first = _hashes(texts)
-    stat, found = np.zeros(len(first) - 1), [[] for _ in range(len(first) - 1)]
-    if len(model.words) and len(words):
-        slot = np.minimum(np.searchsorted(model.words, words), len(model.words) - 1)
-        hit = np.flatnonzero(model.words[slot] == words)
+    out = []
+    if model.table is not None and len(words):
+        scores = model.table.lookup(words, model.unknown)
+        hit = np.flatnonzero(scores > 0)
+        before = np.concatenate([[0.0], np.cumsum(scores)])[:-1]
         row = np.searchsorted(first, hit, "right") - 1
         edges = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(hit) else []
         for a, b in zip(edges, [*edges[1:], len(hit)]):
             i = int(row[a])
-            n = first[i + 1] - first[i]
-            for start, end, s in segments(model.scores[slot[hit[a:b]]], hit[a:b] - first[i]):
-                e = model.lam * s - model.log_k - math.log(n)
-                if e > SIGNIFICANT:
-                    found[i].append((start, end, e))
-                    stat[i] += e
-    return stat, found
+            out += [(i, s, e, x) for s, e, x in segments(scores[hit[a:b]], hit[a:b] - first[i], before[hit[a:b]])]
+    return np.diff(first), out
+
+
+def passages(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    """Statistic of each row, and its significant passages as (first word, end word, extreme-value statistic)."""
+    n, found = scored_segments(texts, model)
+    stat, out = np.zeros(len(n)), [[] for _ in range(len(n))]
+    for i, start, end, s in found:
+        e = model.lam * s - model.log_k - math.log(n[i])
+        if e > SIGNIFICANT:
+            out[i].append((start, end, e))
+            stat[i] += e
+    return stat, out
+
 
+def _calibration(batches, labels: Table, sizes: Table, everything: bool):
+    """(texts, label, weight) of the calibration's rows."""
+    for texts, toxic in _labelled(batches, labels):
+        keys = _group_keys(*_hashes(texts))
+        weight = 1.0 / sizes.lookup(_group(keys, toxic), 1)
+        take = np.flatnonzero(_side(keys) | everything)
+        if len(take):
+            yield texts.take(pa.array(take)), toxic[take], weight[take]
+
+
+def _tails(model: Model, labels: Table, sizes: Table, everything: bool):
+    """Words (bin -1) and segments by lambda * S of clean rows, weighted."""
 
-def _statistics(model: Model, labels: Table):
     def run(batches):
-        for texts, toxic in _labelled(batches, labels):
+        for texts, toxic, weight in _calibration(batches, labels, sizes, everything):
+            weight = np.where(toxic == 1, 0.0, weight)
+            n, found = scored_segments(texts, model)
+            bins = np.array([-1, *(int(model.lam * s / _TAIL_BIN) for *_, s in found)], np.int64)
+            values = np.array([(n * weight).sum(), *(weight[i] for i, *_ in found)])
+            u, inv = np.unique(bins, return_inverse=True)
+            yield batch("bin n", u, np.bincount(inv, values))
+
+    return run
+
+
+def _statistics(model: Model, labels: Table, sizes: Table, everything: bool):
+    def run(batches):
+        for texts, toxic, weight in _calibration(batches, labels, sizes, everything):
             stat, _ = passages(texts, model)
             bins = np.minimum(np.ceil(stat / _BIN), _BINS).astype(np.int64)
-            pairs, n = np.unique(bins * 2 + (toxic == 1), return_counts=True)
-            yield batch("bin toxic n", pairs // 2, pairs % 2, n)
+            pairs, inv = np.unique(bins * 2 + (toxic == 1), return_inverse=True)
+            yield batch("bin toxic n", pairs // 2, pairs % 2, np.bincount(inv, weight))
 
     return run
 
 
-def _lambda(p: np.ndarray, s: np.ndarray, other: float) -> float:
-    """The positive root of sum(p * exp(x * s)) + (1 - sum(p)) * exp(x * other) = 1."""
-    rest = max(1e-9, 1 - p.sum())
-    if (p * s).sum() + rest * other >= 0:
+def _lambda(p: np.ndarray, s: np.ndarray) -> float:
+    """The positive root of sum(p * exp(x * s)) = 1 for a distribution p of scores s; a small one where the mean isn't negative, a large one without positive scores."""
+    if (p * s).sum() >= 0:
         return 0.1
-    f = lambda x: float((p * np.exp(np.minimum(x * s, 700))).sum() + rest * math.exp(x * other)) - 1
+    f = lambda x: float((p * np.exp(np.minimum(x * s, 700))).sum()) - 1
     lo, hi = 1e-6, 0.01
-    while f(hi) < 0 and hi < 100:
+    while f(hi) < 0 and hi < 20:
         lo, hi = hi, hi * 1.5
     for _ in range(60):
         mid = (lo + hi) / 2
@@ -190,6 +252,17 @@ def _lambda(p: np.ndarray, s: np.ndarray, other: float) -> float:
     return lo
 
 
+def tail_constant(bins: np.ndarray, n: np.ndarray) -> float:
+    """ln K: so many segments a word reach x as K * exp(-x) says, at the highest x that at least ``_TAIL`` of them reach."""
+    words = float(n[bins < 0].sum())
+    order = np.argsort(-bins[bins >= 0])
+    x, reached = bins[bins >= 0][order] * _TAIL_BIN, np.cumsum(n[bins >= 0][order])
+    if not words or not len(x) or not reached[-1]:
+        return 0.0
+    k = min(int(np.searchsorted(reached, _TAIL)), len(x) - 1)
+    return float(np.log(reached[k]) + x[k] - np.log(words))
+
+
 def isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Weighted pool-adjacent-violators fit, non-decreasing."""
     blocks: list[list[float]] = []
@@ -201,45 +274,48 @@ def isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), a / b) for a, b, k in blocks])
 
 
-def train(docs: DataFrame, labels: DataFrame, min_z: float = MIN_Z, min_rows: float = MIN_ROWS, prior: float = PRIOR, max_lexicon: int = MAX_LEXICON) -> Model:
+def log_odds(t: Column, c: Column, share: float, prior: float = PRIOR, z: float = Z) -> Column:
+    """Lower posterior bound of the log-odds of a word in so many toxic and clean rows, where toxic rows have that share of all."""
+    x, y = t + prior * share, c + prior * (1 - share)
+    return F.log(x / y) - math.log(share / (1 - share)) - z * F.sqrt(1 / x + 1 / y)
+
+
+def train(docs: DataFrame, labels: DataFrame, prior: float = PRIOR, z: float = Z) -> Model:
     """Fit on the rows of docs (doc_id, text) that labels (doc_id, toxic) name; of several labels of an id the highest counts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max(F.col("toxic") == 1).cast("tinyint").alias("value"))
     known = store(own, "toxic-labels", "i1")
-    sizes = rows.mapInArrow(_groups(known), "key long, n long").groupBy("key").agg(F.sum("n").alias("value"))
+    sizes = materialize(rows.mapInArrow(_groups(known), "key long, n long").groupBy("key").agg(F.sum("n").alias("value")), "toxic-sizes")
     copies = store(sizes.where("value > 1"), "toxic-groups", "f8")
     counts = rows.mapInArrow(_presence(known, copies), "word long, t double, c double").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = materialize(counts, "toxic-counts")
     total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     nt, nc = total["t"] or 0.0, total["c"] or 0.0
     if nt and nc:
-        a = prior * (F.col("t") + F.col("c")) + 0.5
-        x, y, a0 = F.col("t") + F.col("a"), F.col("c") + F.col("a"), prior * (nt + nc)
-        delta = F.log(x / (nt + a0 - x)) - F.log(y / (nc + a0 - y))
-        scored = counts.where(F.col("t") >= min_rows).withColumn("a", a).select("word", "t", "c", delta.alias("d"), (delta / F.sqrt(1 / x + 1 / y)).alias("z"))
-        got = scored.where((F.col("z") >= min_z) & (F.col("d") > 2)).orderBy(F.col("z").desc(), "word").limit(max_lexicon).toPandas()
-    else:
-        got = None
-    if got is None or not len(got):
-        words, scores, lam, log_k = np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0
+        share = nt / (nt + nc)
+        scored = counts.select("word", "c", log_odds(F.col("t"), F.col("c"), share, prior, z).alias("value"))
+        words = store(scored.select(F.col("word").alias("key"), "value"), "toxic-words", "f8")
+        hist = scored.groupBy(F.floor(F.col("value") / _SCORE_BIN).alias("bin")).agg(F.sum(F.col("c") + 0.5).alias("c")).toPandas()  # one row a bin; half a row for words that clean rows lack
+        lam = _lambda(hist["c"].to_numpy() / hist["c"].sum(), (hist["bin"].to_numpy() + 0.5) * _SCORE_BIN)
+        model = Model(words, -z * math.sqrt(1 / (prior * share) + 1 / (prior * (1 - share))), lam, 0.0, np.zeros(1), np.full(1, 0.5))
     else:
-        h = got["word"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        words, scores = h[order], got["d"].to_numpy()[order]
-        p = (got["c"].to_numpy()[order] + 0.5) / (nc + 1)
-        lam = _lambda(p, scores, OTHER)
-        log_k = 0.0
-    model = Model(words, scores, lam, log_k, np.zeros(1), np.full(1, 0.5))
-    hist = rows.mapInArrow(_statistics(model, known), "bin long, toxic long, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).toPandas()
-    if not len(hist):
+        model = Model(None, 0.0, 1.0, 0.0, np.zeros(1), np.full(1, 0.5))
+    tails = statistics = None
+    for everything in (False, True):
+        tails = rows.mapInArrow(_tails(model, known, copies, everything), "bin long, n double").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+        model = replace(model, log_k=tail_constant(tails["bin"].to_numpy(), tails["n"].to_numpy()))
+        statistics = rows.mapInArrow(_statistics(model, known, copies, everything), "bin long, toxic long, n double").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).toPandas()
+        if statistics["toxic"].nunique() == 2:
+            break
+    if not len(statistics):
         return model
     y, n = np.zeros(_BINS + 1), np.zeros(_BINS + 1)
-    for b, t, k in hist.itertuples(index=False):
-        y[b] += t * k
-        n[b] += k
+    for b, t, k in statistics.itertuples(index=False):
+        y[int(b)] += t * k
+        n[int(b)] += k
     used = np.flatnonzero(n)
     fit = isotonic(y[used] + 0.1 * y.sum() / n.sum(), n[used] + 0.1)
-    return Model(words, scores, lam, log_k, used * _BIN, fit)
+    return replace(model, knots=used * _BIN, values=fit)
 
 
 def _score(model: Model, keep: list[str]):
