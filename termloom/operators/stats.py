@@ -100,3 +100,14 @@ def section_counts(occ: DataFrame) -> DataFrame:
 def word_dispersion(phrases: DataFrame) -> DataFrame:
     """Per word: occurrences over phrases, and distinct phrases."""
     return phrases.select("term", F.explode(F.split("term", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("term").alias("phrases"))
+
+
+def appearance_rank(rows: DataFrame, first: str) -> DataFrame:
+    """Rows with ``early``: 1 for the first to appear, falling evenly to 1/n for the last; ranks come from a range sort and counts by partition, not from one task."""
+    spark_rows = rows.select(F.col(first).alias("_f")).distinct().repartitionByRange("_f").sortWithinPartitions("_f").withColumn("_p", F.spark_partition_id())
+    counts = spark_rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_f").alias("_lo"), F.max("_f").alias("_hi")).where("_n > 0")
+    before = counts.select("_p", "_lo", "_hi", (F.sum("_n").over(Window.orderBy("_lo")) - F.col("_n")).alias("_before"))  # one row a partition
+    ranked = rows.select(F.col(first).alias("_f")).distinct().join(F.broadcast(before), F.col("_f").between(F.col("_lo"), F.col("_hi")))
+    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_f")) + F.col("_before")).select("_f", "_r")
+    n = F.broadcast(rows.agg(F.count("*").alias("_all")))  # one row
+    return rows.join(ranked, F.col(first) == F.col("_f")).crossJoin(n).withColumn("early", (F.col("_all") - F.col("_r") + 1) / F.col("_all")).drop("_f", "_r", "_all")

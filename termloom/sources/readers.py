@@ -136,3 +136,9 @@ def technologies(spark: SparkSession, years: str, ids: str) -> DataFrame:
     i = spark.read.csv(ids, sep="\t", schema="term string, id string")
     p = F.split("years", " ")
     return y.select("term", F.get(p, F.lit(0)).cast("int").alias("available"), F.get(p, F.lit(1)).cast("int").alias("mature")).join(i, "term")
+
+
+def dates_of(docs: DataFrame) -> DataFrame:
+    """The columns but ``text``, with the application and publication dates (yyyymmdd as int) of XML texts; null where there is none."""
+    date = lambda tag: F.nullif(F.regexp_extract("text", rf"(?s)<{tag}(?:\s[^>]*)?>.*?<date>(\d{{8}})</date>", 1), F.lit("")).cast("int")
+    return docs.select(*[c for c in docs.columns if c != "text"], date("application-reference").alias("application"), date("publication-reference").alias("publication"))
