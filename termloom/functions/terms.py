@@ -83,6 +83,11 @@ def bin_twenty(x: Column) -> Column:
     return F.least(F.floor(x * 20), F.lit(19)).cast("int")
 
 
+def rising(first: Column, last: Column, floor: float = 0.1, factor: float = 3.0) -> Column:
+    """A score that was above zero, ends above a floor and has grown by more than a factor."""
+    return (first > 0) & (last > floor) & (last > factor * first)
+
+
 def ternary(x: Column, low: float = 0.5, high: float = 2.0) -> Column:
     return F.when(x < low, 0).when(x < high, 1).otherwise(2)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def term_categories(occ: DataFrame, seeds: DataFrame) -> DataFrame:
     """(term, category, pair_count, prob): how a term's seed features (feature, category) divide."""
-    pairs = occ.join(F.broadcast(seeds), "feature").groupBy("term", "category").agg(F.count("*").alias("pair_count"))  # seeds are a parameter of known, small size
+    pairs = occ.join(seeds, "feature").groupBy("term", "category").agg(F.count("*").alias("pair_count"))
     return pairs.withColumn("prob", F.col("pair_count") / F.sum("pair_count").over(Window.partitionBy("term")))
 
 

@@ -30,8 +30,8 @@ def frequency_level(adjusted: DataFrame) -> DataFrame:
 
 def usage(counts: DataFrame) -> DataFrame:
     """ln(n + 1) / ln(largest of the year + 1.0001)."""
-    most = F.max("n").over(Window.partitionBy("year"))
-    return counts.withColumn("usage", F.log(F.col("n") + 1.0) / F.log(most + 1.0001))
+    most = counts.groupBy("year").agg(F.max("n").alias("_most"))
+    return counts.join(most, "year").withColumn("usage", F.log(F.col("n") + 1.0) / F.log(F.col("_most") + 1.0001)).drop("_most")
 
 
 def damped(series: DataFrame, value: str = "usage") -> DataFrame:
@@ -48,8 +48,8 @@ def damped(series: DataFrame, value: str = "usage") -> DataFrame:
 
 def relative_frequency(counts: DataFrame) -> DataFrame:
     """ln(n + 1) / ln(largest of the year + 1); null in a year of zeros."""
-    most = F.max("n").over(Window.partitionBy("year"))
-    return counts.withColumn("relative", F.when(most > 0, F.log(F.col("n") + 1.0) / F.log(most + 1.0)))
+    most = counts.groupBy("year").agg(F.max("n").alias("_most"))
+    return counts.join(most, "year").withColumn("relative", F.when(F.col("_most") > 0, F.log(F.col("n") + 1.0) / F.log(F.col("_most") + 1.0))).drop("_most")
 
 
 def change(values: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def term_feature_stats(occ: DataFrame) -> DataFrame:
     )
 
 
-def pair_stats(occ: DataFrame, min_df: int = 1) -> DataFrame:
+def pair_stats(occ: DataFrame, min_df: int = 2) -> DataFrame:
     """Co-occurring terms of a document, t1 < t2: pair and single document frequencies, NPMI and frequency-weighted NPMI.
 
     Terms below ``min_df`` are dropped before pairs are made, which bounds them per document.
@@ -75,8 +75,9 @@ def inverted_index(occ: DataFrame, loc: str = "loc") -> DataFrame:
 
 def category_argmax(counts: DataFrame, key: str, category: str, weight: str, last_wins: bool) -> DataFrame:
     """The category of the largest weight per key; on ties the alphabetically last or first one."""
-    best = F.max(F.struct(weight, category)) if last_wins else F.max(F.struct(F.col(weight), (-F.dense_rank().over(Window.orderBy(category))).alias("o"), category))
-    return counts.groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{category}").alias(category), F.col(f"b.{weight}").alias(weight))
+    best = F.max(F.struct(F.col(weight).alias("w"), category)) if last_wins else F.min(F.struct((-F.col(weight)).alias("w"), category))
+    w = F.col("b.w") if last_wins else -F.col("b.w")
+    return counts.groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{category}").alias(category), w.alias(weight))
 
 
 def dispersion(occ: DataFrame, side: str) -> DataFrame:
@@ -102,12 +103,23 @@ def word_dispersion(phrases: DataFrame) -> DataFrame:
     return phrases.select("term", F.explode(F.split("term", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("term").alias("phrases"))
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows with their number from 1 in each group, by the order given. Rows are range-sorted and counted by partition, so that no group comes into one task."""
+    from termloom.plans.shared import materialize
+
+    x = materialize(rows.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()), "numbered")
+    counts = x.groupBy(*group, "_p").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row a group and partition
+    own = F.row_number().over(Window.partitionBy(*group, "_p").orderBy(*order))
+    ranked = x.withColumn("_k", own)
+    condition = None
+    for c in [*group, "_p"]:
+        one = ranked[c].eqNullSafe(before[c])
+        condition = one if condition is None else condition & one
+    return ranked.join(before, condition).select(*[ranked[c] for c in rows.columns], (F.col("_k") + F.col("_before")).alias(name))
+
+
 def appearance_rank(rows: DataFrame, first: str) -> DataFrame:
-    """Rows with ``early``: 1 for the first to appear, falling evenly to 1/n for the last; ranks come from a range sort and counts by partition, not from one task."""
-    spark_rows = rows.select(F.col(first).alias("_f")).distinct().repartitionByRange("_f").sortWithinPartitions("_f").withColumn("_p", F.spark_partition_id())
-    counts = spark_rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_f").alias("_lo"), F.max("_f").alias("_hi")).where("_n > 0")
-    before = counts.select("_p", "_lo", "_hi", (F.sum("_n").over(Window.orderBy("_lo")) - F.col("_n")).alias("_before"))  # one row a partition
-    ranked = rows.select(F.col(first).alias("_f")).distinct().join(F.broadcast(before), F.col("_f").between(F.col("_lo"), F.col("_hi")))
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_f")) + F.col("_before")).select("_f", "_r")
+    """Rows with ``early``: 1 for the first to appear, falling evenly to 1/n for the last."""
     n = F.broadcast(rows.agg(F.count("*").alias("_all")))  # one row
-    return rows.join(ranked, F.col(first) == F.col("_f")).crossJoin(n).withColumn("early", (F.col("_all") - F.col("_r") + 1) / F.col("_all")).drop("_f", "_r", "_all")
+    return numbered(rows, [], [first], "_r").crossJoin(n).withColumn("early", (F.col("_all") - F.col("_r") + 1) / F.col("_all")).drop("_r", "_all")

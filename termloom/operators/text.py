@@ -19,10 +19,10 @@ def sentences(text: Column) -> Column:
 
 def chunk_by_function_words(text: Column, words: tuple[str, ...] = FUNCTION_WORDS) -> Column:
     """Maximal runs of tokens that are neither function words nor punctuation, lower-cased."""
-    stop = F.array(*[F.lit(w) for w in words])
-    tokens = F.split(F.lower(F.regexp_replace(text, r"([.,;:!?|()\"])", r" $1 ")), r"\s+")
-    marked = F.transform(tokens, lambda t: F.when(F.array_contains(stop, t) | ~t.rlike(r"[\p{L}\p{N}]"), F.lit("\n")).otherwise(t))
-    return F.filter(F.transform(F.split(F.array_join(marked, " "), "\n"), lambda c: F.trim(c)), lambda c: c != "")
+    edge = r"\s.,;:!?|()\""
+    cut = rf"[.,;:!?|()\"]|(?<![^{edge}])(?:{'|'.join(re.escape(w) for w in words)}|[^\p{{L}}\p{{N}}\s]+)(?![^{edge}])"
+    parts = F.transform(F.split(F.lower(text), cut), lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.filter(parts, lambda c: c != "")
 
 
 def context_window(docs: DataFrame, targets: DataFrame, size: int = 3) -> DataFrame:

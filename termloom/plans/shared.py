@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
+    if own is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{SETTING} has to name a folder that all executors share")
     if own is None:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="termloom-"))
         own = spark.sparkContext.getCheckpointDir()

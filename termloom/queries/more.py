@@ -61,7 +61,9 @@ def trend_of_top_terms(spark, d):
 @query("feature_given_year", f"with {OCC}, c as (select brand as feature, year, count(*) as n from occ group by all) select feature, year, round(n / sum(n) over (partition by year), 6) as p_f_y, round(n / sum(n) over (partition by feature), 6) as p_y_f from c")
 def feature_given_year(spark, d):
     c = occurrences(spark, d).groupBy(F.col("brand").alias("feature"), "year").agg(F.count("*").alias("n"))
-    return c.select("feature", "year", *[F.round(F.col("n") / F.sum("n").over(Window.partitionBy(k)), 6).alias(a) for k, a in (("year", "p_f_y"), ("feature", "p_y_f"))])
+    by = {k: c.groupBy(k).agg(F.sum("n").alias(f"n_{k}")) for k in ("year", "feature")}
+    x = c.join(by["year"], "year").join(by["feature"], "feature")
+    return x.select("feature", "year", F.round(F.col("n") / F.col("n_year"), 6).alias("p_f_y"), F.round(F.col("n") / F.col("n_feature"), 6).alias("p_y_f"))
 
 
 @query("top_features_per_term", f"with {OCC}, c as (select term, brand, count(*) as n from occ group by all) select term, brand, n, rank from (select *, row_number() over (partition by term order by n desc, brand) as rank from c) where rank <= 3")
@@ -79,10 +81,10 @@ def series_classes(spark, d):
     return x.select("part", (F.col("total") < 3).alias("low"), F.col("total").between(3.25, 3.75).alias("medium"), (F.col("total") > 4).alias("high"), ((F.col("spread") > 0.02) & (F.round(F.col("last") - F.col("first"), 6) > 0.2)).alias("rising"))
 
 
-@query("trend_predicate", f"with {OCC}, x as (select part, avg(case when year = 1996 then score end) as s1, avg(case when year = 2000 then score end) as s2 from occ group by part) select part, round(s1, 6) as s1, round(s2, 6) as s2 from x where s1 > 0 and s2 > 0.1 and s2 > 2 * s1")
+@query("trend_predicate", f"with {OCC}, x as (select part, avg(case when year = 1996 then score end) as s1, avg(case when year = 2000 then score end) as s2 from occ group by part) select part, round(s1, 6) as s1, round(s2, 6) as s2 from x where s1 > 0 and s2 > 0.1 and s2 > 3 * s1")
 def trend_predicate(spark, d):
     x = occurrences(spark, d).groupBy("part").agg(*[F.avg(F.when(F.col("year") == y, F.col("score"))).alias(a) for y, a in ((1996, "s1"), (2000, "s2"))])
-    return x.where("s1 > 0 and s2 > 0.1 and s2 > 2 * s1").select("part", F.round("s1", 6).alias("s1"), F.round("s2", 6).alias("s2"))
+    return x.where(T.rising(F.col("s1"), F.col("s2"))).select("part", F.round("s1", 6).alias("s1"), F.round("s2", 6).alias("s2"))
 
 
 @query("years_by_category", "select cast(year(o_orderdate) as integer) as year, c_mktsegment as category, count(*) as n from orders join customer on o_custkey = c_custkey where year(o_orderdate) >= 1990 group by all")
@@ -153,9 +155,12 @@ def compound_bracketing(spark, d):
     return B.bracket(grams(4), counts)
 
 
-@query("canonical_phrases", """select distinct p_type || ' ' || p_name || 's' as phrase, lower(p_type || ' ' || p_name) as canonical from part where not regexp_matches(lower(p_type), 's$')""")
+_SINGULAR = "case when regexp_matches(x, '(ss|us|is)$') or length(x) < 4 then x when regexp_matches(x, 'ies$') then regexp_replace(x, 'ies$', 'y') when regexp_matches(x, '(ch|sh|x|s|z)es$') then regexp_replace(x, 'es$', '') when regexp_matches(x, 's$') then regexp_replace(x, 's$', '') else x end"
+
+
+@query("canonical_phrases", f"""with p as (select distinct p_type || ' ' || p_name || 's' as phrase from part) select phrase, array_to_string(list_transform(string_split(lower(phrase), ' '), lambda x: {_SINGULAR}), ' ') as canonical from p""")
 def canonical_phrases(spark, d):
-    x = table(spark, d, "part").where(~F.lower("p_type").rlike("s$")).select(F.concat("p_type", F.lit(" "), "p_name", F.lit("s")).alias("phrase")).distinct()
+    x = table(spark, d, "part").select(F.concat("p_type", F.lit(" "), "p_name", F.lit("s")).alias("phrase")).distinct()
     return x.select("phrase", T.canonical_phrase(F.col("phrase")).alias("canonical"))
 
 
@@ -175,5 +180,7 @@ def ascii_histogram(spark, d):
 
 @query("annotation_batches", "select doc_id, (ceil(row_number() over (partition by lang order by doc_id) / 50.0))::int as batch, lang from documents")
 def annotation_batches(spark, d):
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.ceil(n / 50.0).cast("int").alias("batch"), "lang")
+    from termloom.operators.stats import numbered
+
+    x = numbered(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"], "n")
+    return x.select("doc_id", F.ceil(F.col("n") / 50.0).cast("int").alias("batch"), "lang")

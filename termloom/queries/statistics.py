@@ -25,7 +25,7 @@ def term_feature_npmi(spark, d):
 
 @query("pair_npmi", f"""with {OCC}, dt as (select distinct year, doc, term from occ), n as (select year, count(distinct doc) as n_docs from occ group by all),
  df as (select year, term, count(*) as df from dt group by all),
- p as (select a.year, a.term as t1, b.term as t2, count(*) as pair_df from dt a join dt b on a.year = b.year and a.doc = b.doc and a.term < b.term group by all),
+ fr as (select dt.* from dt join df using (year, term) where df >= 2), p as (select a.year, a.term as t1, b.term as t2, count(*) as pair_df from fr a join fr b on a.year = b.year and a.doc = b.doc and a.term < b.term group by all),
  x as (select p.year, t1, t2, pair_df, d1.df as df1, d2.df as df2, case when pair_df < n_docs then log2((pair_df / n_docs) / ((d1.df / n_docs) * (d2.df / n_docs))) / -log2(pair_df / n_docs) end as m
   from p join df d1 on d1.year = p.year and d1.term = t1 join df d2 on d2.year = p.year and d2.term = t2 join n on n.year = p.year)
 select year, t1, t2, pair_df, df1, df2, round(m, 6) + 0.0 as npmi, round(m * log2(pair_df), 6) + 0.0 as fpmi from x""")
@@ -198,11 +198,11 @@ def global_statistics(spark, d):
     return s.agg(F.count("*").alias("terms"), F.sum("n").alias("instances"), F.max("n").alias("most"), F.round(F.max("s"), 6).alias("top"), F.count(F.when(F.col("s") > 0.5, 1)).alias("high"), F.sum(F.when(F.col("s") > 0.5, F.col("n")).otherwise(0)).alias("high_instances"))
 
 
-@query("order_statistics_of_features", f"""with {OCC}, f as (select term, brand, min(year) as y from occ where brand in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') group by all)
+@query("order_statistics_of_features", f"""with {OCC}, f as (select term, brand, min(year) as y from occ group by all)
 select a.brand as f1, b.brand as f2, count(case when a.y < b.y then 1 end) as before, count(case when a.y > b.y then 1 end) as after, count(case when a.y = b.y then 1 end) as same from f a join f b on a.term = b.term and a.brand < b.brand group by all""")
 def order_statistics_of_features(spark, d):
-    """Which of two features a term had first; the features are a fixed few."""
-    f = occurrences(spark, d).where(F.col("brand").isin(*[f"Brand#{k}" for k in range(1, 6)])).groupBy("term", "brand").agg(F.min("year").alias("y"))
+    """Which of two features a term had first, for all pairs of features."""
+    f = occurrences(spark, d).groupBy("term", "brand").agg(F.min("year").alias("y"))
     a, b = f.select("term", F.col("brand").alias("f1"), F.col("y").alias("y1")), f.select("term", F.col("brand").alias("f2"), F.col("y").alias("y2"))
     return a.join(b, "term").where("f1 < f2").groupBy("f1", "f2").agg(*[F.count(F.when(c, 1)).alias(n) for n, c in (("before", F.expr("y1 < y2")), ("after", F.expr("y1 > y2")), ("same", F.expr("y1 = y2")))])
 

@@ -25,10 +25,11 @@ def function_word_chunks(spark, d):
     return docs.select(F.col("doc_id").alias("doc"), F.explode(X.chunk_by_function_words(F.col("text"))).alias("chunk")).groupBy("doc", "chunk").agg(F.count("*").alias("n"))
 
 
-@query("sentence_counts", "select doc_id as doc, (1 + len(regexp_extract_all(text, '[.?!]\\s+')))::int as sentences from documents where not regexp_matches(text, '[.?!]\\s+$')")
+@query("sentence_counts", r"""select doc_id as doc, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::int as sentences from documents""")
 def sentence_counts(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[.?!]\s+$"))
-    return docs.select(F.col("doc_id").alias("doc"), F.size(X.sentences(F.col("text"))).alias("sentences"))
+    """Sentences of each text; white space behind the last end mark is no sentence, null and empty texts have none."""
+    kept = F.filter(X.sentences(F.coalesce("text", F.lit(""))), lambda s: s != "")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.size(kept).alias("sentences"))
 
 
 @query("context_window", r"""with t as (select doc_id as doc, regexp_split_to_array(text, '\s+') as w from documents), p as (select doc, w, unnest(generate_series(1, len(w))) as i from t),
@@ -40,12 +41,12 @@ def context_window(spark, d):
 
 
 @query("cooccurrence_tfidf", r"""with t as (select doc_id as doc, regexp_split_to_array(text, '\s+') as w from documents), n as (select count(*) as n from t), f as (select doc, word, count(*) as tf from (select doc, unnest(w) as word from t) group by all), df as (select word, count(*) as df from f group by word)
-select doc, word, tf, df, round(tf * log2(floor(n / (df + 1))), 6) as tfidf from f join df using (word), n where df >= 100 and n / (df + 1) >= 1""")
+select doc, word, tf, df, round(tf * log2(floor(n / (df + 1))), 6) as tfidf from f join df using (word), n where n / (df + 1) >= 1""")
 def cooccurrence_tfidf(spark, d):
     from termloom.functions import terms as T
 
     f = _docs(spark, d).select("doc", F.explode("tokens").alias("word")).groupBy("doc", "word").agg(F.count("*").alias("tf"))
-    df = f.groupBy("word").agg(F.count("*").alias("df")).where("df >= 100")
+    df = f.groupBy("word").agg(F.count("*").alias("df"))
     n = F.broadcast(table(spark, d, "documents").agg(F.count("*").alias("n")))  # one row
     x = f.join(df, "word").crossJoin(n).where("n / (df + 1) >= 1")
     return x.select("doc", "word", "tf", "df", F.round(T.tfidf(F.col("tf"), F.col("df"), F.col("n")), 6).alias("tfidf"))
@@ -53,11 +54,11 @@ def cooccurrence_tfidf(spark, d):
 
 @query("dictionary_lookup_longest")
 def dictionary_lookup_longest(spark, d):
-    """Two- to four-word sequences of the benchmark in the documents, longest first."""
+    """Sequences of two to ten words of the benchmark in the documents, longest first."""
     from termloom.functions import terms as T
 
-    grams = table(spark, d, "benchmark").select(F.explode(T.subphrases(F.split("text", r"\s+"))).alias("term")).where(F.size(F.split("term", " ")).between(2, 4))
-    return X.dictionary_lookup(_docs(spark, d), grams, longest=4)
+    grams = table(spark, d, "benchmark").select(F.explode(T.subphrases(F.split("text", r"\s+"))).alias("term")).where(F.size(F.split("term", " ")).between(2, 10))
+    return X.dictionary_lookup(_docs(spark, d), grams, longest=10)
 
 
 _PATTERNS = {"economy or small, first brand": {"type": ["ECONOMY", "SMALL"], "brand": ["Brand#1"]}, "promo": {"type": ["PROMO"]}}

@@ -124,9 +124,9 @@ def pubmed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def route_by_subject(records: DataFrame, domains: DataFrame) -> DataFrame:
-    """Each record with the first domain (by ``ord``) that one of its subjects belongs to; domains (domain, subject, ord) are a broadcast configuration."""
+    """Each record with the first domain (by ``ord``) that one of its subjects belongs to; domains are (domain, subject, ord)."""
     x = records.withColumn("rid", F.xxhash64(F.to_json(F.struct(*records.columns))))
-    hit = x.select("rid", F.explode("subjects").alias("subject")).join(F.broadcast(domains), "subject").groupBy("rid").agg(F.min_by("domain", "ord").alias("domain"))
+    hit = x.select("rid", F.explode("subjects").alias("subject")).join(domains, "subject").groupBy("rid").agg(F.min_by("domain", "ord").alias("domain"))
     return x.join(hit, "rid").drop("rid")
 
 
