@@ -4,7 +4,8 @@
    Documents of equal sets fall together by digest, so copies are never compared.
 2. Distinct sets meet in 20 bands of 4 hashes; a pair of similarity 0.85 misses all of them with probability 4e-7, one of 0.8 with 3e-5.
 3. First each set is compared with one centre, the smallest set of its buckets. Confirmed pairs are joined to components. Only buckets that
-   still hold several components are compared further, only across components, in blocks of bounded size.
+   still hold several components are compared further, only across components. In a large one (look-alikes that share a boilerplate) sets meet again only where they share
+   one of their rarest shingles, as many as sets of the similarity have to share one of; such meetings are compared in blocks of bounded size.
 4. A comparison reads the two signatures batch by batch and drops the pair once the posterior probability (uniform prior) of a similarity of
    at least the limit falls below ``miss``. Survivors are confirmed on their full shingle sets: 100 * intersection >= percent * union.
 5. Components of confirmed links; each document gets the smallest doc_id of its component.
@@ -28,6 +29,7 @@ from termloom.plans.shared import materialize
 
 from . import _vec as V
 from ._spark import LOWER, UPPER, batch, row_key, table
+from ._tables import store
 from .components import connected_components
 
 #: Links hold from 0.8 on unless a caller says otherwise; the query's contract says 0.85.
@@ -36,6 +38,8 @@ BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
 STEP, MISS = 16, 1e-7
 BLOCK, SPREAD = 256, 64
+#: Shingles that a task gathers before it passes on their counts.
+FLUSH = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(77))
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,36 +56,17 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     valid = np.arange(len(w)) + size <= first[1:][doc]
     short = np.flatnonzero((n > 0) & (n < size))
     h = np.concatenate([w[valid], V.span_hashes(words, first[short], first[short + 1])])
-    d = np.concatenate([doc[valid], short]).astype(np.uint64)
-    bits = np.uint64(max(1, int(len(n)).bit_length()))
-    key = (d << (np.uint64(64) - bits)) | (h >> bits)
-    key.sort()
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    key = key[new]
-    at = np.searchsorted(key >> (np.uint64(64) - bits), np.arange(len(n) + 1, dtype=np.uint64))
-    return key & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1)), at
-
-
-def _slices(batches):
-    """Slices of at most 4095 rows: sets of any two slices then keep the same 52 bits of their hashes."""
-    for b in V.text_slices(batches):
-        for a in range(0, b.num_rows, 4095):
-            yield b.slice(a, 4095)
-
-
-def fixed_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle sets whose hashes don't depend on the slice's length."""
-    n = len(texts)
-    if n < 4095:
-        texts = pa.concat_arrays([texts, pa.nulls(4095 - n, texts.type)])
-    h, at = shingle_sets(texts)
-    return h, at[: n + 1]
+    d = np.concatenate([doc[valid], short])
+    order = np.lexsort((h, d))
+    h, d = h[order], d[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    return h[new], np.searchsorted(d[new], np.arange(len(n) + 1))
 
 
 def _signatures(batches):
-    for b in _slices(batches):
-        h, at = fixed_sets(b.column("text"))
+    for b in V.text_slices(batches):
+        h, at = shingle_sets(b.column("text"))
         n = np.diff(at)
         has = np.flatnonzero(n)
         sig = np.zeros((b.num_rows, HASHES), np.uint32)
@@ -156,8 +141,8 @@ def _confirm(percent: int):
 
     def run(batches):
         centre = None
-        for b in _slices(batches):
-            h, at = fixed_sets(b.column("text"))
+        for b in V.text_slices(batches):
+            h, at = shingle_sets(b.column("text"))
             roles, ok = b.column("role").to_numpy(), []
             for i in range(b.num_rows):
                 own = h[at[i] : at[i + 1]]
@@ -192,7 +177,8 @@ def _across(percent: int):
         n, block = rows.column("n").to_numpy(), rows.column("block").to_numpy()
         _, label = np.unique(np.array(rows.column("label").to_pylist(), dtype=object), return_inverse=True)
         keys = band_keys(sig)
-        which = int(np.flatnonzero(keys[0].view(np.int64) == band)[0])
+        which = np.flatnonzero((keys[0].view(np.int64) == band) & (rows.column("kind")[0].as_py() == 0))  # no band if they met by a shingle
+        which = int(which[0]) if len(which) else 0
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         nodes = rows.column("node").combine_chunks()
         out_a, out_b = [], []
@@ -213,7 +199,7 @@ def _across(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")])
+            ids = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("band", "kind", "i", "j")])
             cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
             for s, e in zip(cuts, cuts[1:]):
                 now = tuple(ids[:, s])
@@ -228,6 +214,51 @@ def _across(percent: int):
     return run
 
 
+def _count_shingles(batches):
+    """(key, n): in how many sets a shingle is, summed in tasks."""
+    held, size = [], 0
+    for b in V.text_slices(batches):
+        held.append(shingle_sets(b.column("text"))[0])
+        size += len(held[-1])
+        if size >= FLUSH:
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            yield batch("key n", k.view(np.int64), n)
+            held, size = [], 0
+    if size:
+        k, n = np.unique(np.concatenate(held), return_counts=True)
+        yield batch("key n", k.view(np.int64), n)
+
+
+def prefix_of(h: np.ndarray, at: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of each set's prefix: its rarest shingles, so many that two sets of the similarity share one of them; those of one set alone are left out."""
+    n = np.diff(at)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, often, row))
+    length = n - -(-percent * n // 100) + 1
+    take = order[np.arange(len(order)) - at[:-1][row] < length[row]]
+    take = take[often[take] > 1]
+    return row[take], take
+
+
+def _shingle_buckets(large: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets that are too large to compare all: they meet again by the shingles of their prefixes, the rarest first, so that what a boilerplate shares brings nobody together.
+
+    (band, node, size, label, kind): shingles as ``band`` (kind 1) in which several components meet."""
+    own = texts.join(large, "node", "left_semi")
+    counts = own.mapInArrow(_count_shingles, "key long, n long").groupBy("key").agg(F.sum("n").alias("value")).where("value > 1")
+    often = store(counts, "near-shingles", "i8")
+
+    def run(batches):
+        for b in V.text_slices(batches):
+            h, at = shingle_sets(b.column("text"))
+            row, place = prefix_of(h, at, often.lookup(h, 1), percent)
+            yield batch("band node", h[place].view(np.int64), b.column("node").take(pa.array(row)))
+
+    met = materialize(own.mapInArrow(run, "band long, node binary").join(large, "node"), "near-prefixes")
+    several = met.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "size")
+    return met.join(several, "band").select("band", "node", "size", "label", F.lit(1).alias("kind"))
+
+
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, labels, confirmed): each row's set, the distinct sets, their components, and the confirmed links."""
     keyed = docs.select(*row_key(F.col("doc_id").cast("long"), F.col("text")), "text")
@@ -250,13 +281,16 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     tagged = members.join(labels, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("label"))
     tagged = materialize(tagged, "near-tagged")
     open_ = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    left = tagged.join(open_, "band", "left_semi").join(nodes.select("node", "n", "sig"), "node")
+    left = tagged.join(open_, "band", "left_semi").select("band", "node", "size", "label", F.lit(0).alias("kind"))
+    large = materialize(left.where(F.col("size") > BLOCK).select("node", "label").distinct(), "near-large")
+    by_shingle = _shingle_buckets(large, texts, percent)
+    left = left.where(F.col("size") <= BLOCK).unionByName(by_shingle).join(nodes.select("node", "n", "sig"), "node")
     left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left = left.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    left = left.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-    pairs = materialize(left.select("band", "i", "j", "block", "node", "label", "n", "sig").mapInArrow(_across(percent), "a binary, b binary"), "near-pairs")
-    second = materialize(confirm(pairs, texts, percent), "near-links")
+    left = left.repartition("band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j", "node")
+    pairs = materialize(left.select("band", "kind", "i", "j", "block", "node", "label", "n", "sig").mapInArrow(_across(percent), "a binary, b binary"), "near-pairs")
+    second = materialize(confirm(pairs.distinct(), texts, percent), "near-links")
     confirmed = first.union(second)
     return rows, nodes, connected_components(confirmed), confirmed
 

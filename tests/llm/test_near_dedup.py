@@ -69,6 +69,51 @@ def test_blocks_and_chain(spark, monkeypatch):
     assert got(spark, docs) == brute(docs)
 
 
+def test_boilerplate_family(spark, monkeypatch):
+    """Texts around one boilerplate that meet in the same buckets and aren't alike enough, but for some pairs, are told apart by their rare shingles."""
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for v in range(70):
+        own = list(base)
+        for p in range(5, 200, 12):
+            own[p] = f"v{v}p{p}"
+        docs.append((v, " ".join(own)))
+    for v in range(0, 70, 9):
+        w = docs[v][1].split()
+        w[100] = f"changed{v}"
+        docs.append((200 + v, " ".join(w)))
+    monkeypatch.setattr(N, "BLOCK", 8)
+    assert got(spark, docs, 80) == brute(docs, 80)
+
+
+def test_prefixes_share_a_shingle():
+    """Any two sets of the similarity share a shingle of their prefixes, and the prefix is the rarest part."""
+    import numpy as np
+
+    rnd = random.Random(9)
+    for _ in range(200):
+        a = set(rnd.sample(range(1, 400), rnd.randrange(5, 60)))
+        b = (a - set(rnd.sample(sorted(a), rnd.randrange(0, 1 + len(a) // 8)))) | set(rnd.sample(range(400, 500), rnd.randrange(0, 1 + len(a) // 8)))
+        h = np.array(sorted(a) + sorted(b), np.uint64)
+        at = np.array([0, len(a), len(a) + len(b)])
+        often = np.array([(x * 7919) % 31 + (2 if x in a and x in b else 1) for x in h.tolist()])
+        often = np.array([dict(zip(h.tolist(), often.tolist()))[x] for x in h.tolist()])
+        row, place = N.prefix_of(h, at, often, 80)
+        if 100 * len(a & b) >= 80 * len(a | b):
+            assert set(h[place[row == 0]].tolist()) & set(h[place[row == 1]].tolist())
+
+
+def test_very_long_text_against_brute_force(spark):
+    rnd = random.Random(10)
+    long = [f"l{rnd.randrange(5000)}" for _ in range(50_000)]
+    near = list(long)
+    for p in rnd.sample(range(50_000), 800):
+        near[p] = "other"
+    docs = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:30_000]))]
+    assert got(spark, docs, 80) == brute(docs, 80)
+
+
 def test_empty_table_and_stage(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(df).collect() == []
