@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, replace
 from functools import cache
 
@@ -246,7 +247,7 @@ def fit(codes: np.ndarray, labels: np.ndarray, epochs: int = 5, rate: float = 3e
     net = Network(*p, platt=(float(a), float(b)))
     q = np.sort(net.probabilities(codes[rest])[y == 1])
     least = q[int((1 - recall) * len(q))] if len(q) else 0.5
-    return Network(*p, platt=(float(a), float(b)), threshold=float(max(least, 0.5)) if recall < 1 and least >= 0.5 else float(least))
+    return Network(*p, platt=(float(a), float(b)), threshold=float(least))
 
 
 def largest(net: Network, text: str, start: int, end: int) -> float:
@@ -297,18 +298,38 @@ def scan(texts: pa.Array, net: Network) -> list[list[tuple[int, int, int]]]:
                     judge()
     if codes:
         judge()
+    merged: dict[int, tuple[list[int], list[int]]] = {}
+    found: list[list[tuple[int, int, int]]] = [[] for _ in out]
     for (i, a, b), p in zip(where, best):
-        if p >= net.threshold and not covered(a, b, out[i]):
-            out[i].append((a, 3, b))
-    return [sorted(x) for x in out]
+        if p >= net.threshold:
+            if i not in merged:
+                merged[i] = union(out[i])
+            if not within(a, b, merged[i]):
+                found[i].append((a, 3, b))
+    return [sorted(x + y) for x, y in zip(out, found)]
+
+
+def union(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the union of spans, in order."""
+    starts, ends = [], []
+    for s, _, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def within(start: int, end: int, base: tuple[list[int], list[int]]) -> bool:
+    """Whether one interval of a union holds all of start to end."""
+    k = bisect_right(base[0], start) - 1
+    return k >= 0 and base[1][k] >= end
 
 
 def covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
     """Whether the union of the base findings among ``spans`` holds all of start to end."""
-    for s, kind, e in sorted(spans):
-        if kind < 3 and s <= start < e:
-            start = e
-    return start >= end
+    return within(start, end, union([s for s in spans if s[1] < 3]))
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:

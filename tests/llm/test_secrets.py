@@ -102,3 +102,21 @@ def test_windows_hold_the_whole_candidate():
         at = S.window_starts(7, 7 + n)
         assert at[0] == 7 and max(at) == 7 + max(0, n - S.INSIDE) and len(set(at)) == len(at)
         assert all(b - a <= S.STRIDE for a, b in zip(at, at[1:]))
+
+
+def test_many_findings_in_linear_time():
+    """A text of many findings is scanned in time in proportion to them."""
+    import time
+
+    import pyarrow as pa
+
+    net = S.default_network()
+
+    def seconds(n):
+        text = " ".join(f"password=abcd{i:06d} and some words" for i in range(n))
+        start = time.perf_counter()
+        assert len(S.scan(pa.array([text]), net)[0]) >= n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.02)
