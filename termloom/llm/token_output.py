@@ -9,7 +9,7 @@ File format of a shard ``<n>.tok`` (little-endian):
 dictionary; its dictionary hash tells a wrong dictionary before anything is decoded.
 
 Ids come from the tokenizers library; it sees each distinct piece of text once (see ``_pieces``). The dictionary is trained on a bounded
-sample of documents (``SAMPLE`` of them, those of the smallest hashed ids). Documents are sorted by doc_id over all shards: shard bounds are quantiles of the
+sample of documents (``SAMPLE`` of them, those of the smallest hashed ids; of long ones chunks from all over them). Documents are sorted by doc_id over all shards: shard bounds are quantiles of the
 ids, so what is shuffled is compressed ids and not text. Shards are written under a temporary name and renamed; a repeated task leaves the
 same file. Only one line a shard reaches the driver.
 
@@ -106,6 +106,15 @@ def _with_end(ids: np.ndarray, offs: np.ndarray, kind: np.dtype) -> tuple[np.nda
     return out, np.concatenate([[0], ends + 1])
 
 
+def spread(blob: bytes, most: int, chunk: int = 512) -> bytes:
+    """The bytes, or, of more than ``most``, chunks that are spread evenly over them."""
+    if len(blob) <= most:
+        return blob
+    n = max(1, most // chunk)
+    starts = (np.arange(n) * (len(blob) - min(chunk, most)) // max(1, n - 1) // 4 * 4).tolist()
+    return b"".join(blob[s : s + chunk] for s in starts)[:most]
+
+
 def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, size: int = DICTIONARY_BYTES) -> bytes:
     """Dictionary from the serialized ids of the ``sample`` documents of the smallest hashed ids, ``sample_bytes`` in all; empty if these are too few."""
     chosen = [r[0] for r in docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).collect()]
@@ -113,15 +122,18 @@ def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE, sample_by
         return b""
     lib = encoder(path)
 
+    share = sample_bytes // len(chosen)
+
     def serialize(batches):
         lib = encoder(path)
         for b in V.text_slices(batches):
             ids, offs = lib.pieces.ids(b.column("text"))
             flat, offs = _with_end(ids, offs, _width(lib.size))
-            yield batch("h blob", b.column("h"), V.binary_array(flat.view(np.uint8), offs * flat.itemsize))
+            blobs = [spread(flat[s:e].tobytes(), share) for s, e in zip(offs.tolist(), offs[1:].tolist())]
+            yield batch("h blob", b.column("h"), pa.array(blobs, pa.binary()))
 
     picked = docs.select(F.xxhash64("doc_id").alias("h"), "text").where(F.col("h") <= chosen[-1]).limit(4 * sample)
-    blobs = picked.mapInArrow(serialize, "h long, blob binary").withColumn("blob", F.expr(f"substring(blob, 1, {sample_bytes // len(chosen)})"))
+    blobs = picked.mapInArrow(serialize, "h long, blob binary")
     rows = sorted((r.h, bytes(r.blob)) for r in blobs.toLocalIterator())[:sample]
     del lib
     try:

@@ -106,3 +106,34 @@ def test_rows_that_share_an_id(spark, tmp_path):
     O.write_tokens(df, uri, PATH, shards=3)
     rows = sorted(O.read_tokens(spark, uri).collect(), key=lambda r: r.start)
     assert [r.start for r in rows] == [0, rows[0].n_tokens, rows[0].n_tokens + rows[1].n_tokens]
+
+
+def test_spread_chunks():
+    blob = bytes(range(256)) * 100
+    assert O.spread(blob, 1 << 20) == blob
+    got = O.spread(blob, 4096)
+    assert len(got) == 4096 and got[:512] == blob[:512] and got[-512:] == blob[-512:]
+    assert O.spread(blob, 100) == blob[:100]
+
+
+def test_pieces_are_kept_up_to_a_number_of_bytes():
+    from termloom.llm._pieces import _AROUND, Pieces
+    import pyarrow as pa
+
+    p = Pieces(lambda pieces: [bytes([len(x) % 250, 0, 0, 0]) for x in pieces], lambda t: b"", [], 20 * (_AROUND + 20))
+    for k in range(40):
+        texts = pa.array([f"w{k}x{i} and more" for i in range(30)] + ["long" * 100])
+        ids, offs = p.ids(texts)
+        assert len(offs) == 32 and offs[-1] == len(ids)
+        assert p.held <= p.most and len(p.cache) <= 22 and all(len(x) <= 256 for x in p.cache)
+
+
+def test_other_columns_and_null_ids(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b", "x", 7), (None, "c d", "y", 8), (None, None, "z", 9)], "doc_id long, text string, ids string, n_tokens long")
+    path = bpe.production_path()
+    n = O.write_tokens(df, f"file://{tmp_path}/t", path)
+    rows = O.read_tokens(spark, f"file://{tmp_path}/t").orderBy("start").collect()
+    assert n == 3 and [r.doc_id for r in rows] == [None, None, 1]
+    enc = bpe.encode(df, path, ["doc_id", "n_tokens"])
+    assert sorted(map(str, bpe.decode(enc, path, ["doc_id", "n_tokens"]).collect())) == sorted(["Row(doc_id=1, n_tokens=7, text='a b')", "Row(doc_id=None, n_tokens=8, text='c d')", "Row(doc_id=None, n_tokens=9, text='')"])
+    assert {r.doc_id: r.n_tokens for r in bpe.round_trip(df, path).collect() if r.doc_id} == {1: len(enc.where("doc_id = 1").first().ids)}

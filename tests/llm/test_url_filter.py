@@ -44,3 +44,50 @@ def test_suffixes(spark, host, suffix, domain):
 
     row = spark.range(1).select(F.lit(host).alias("_h")).withColumn("_s", U.suffix_of(F.col("_h"))).withColumn("_d", U.domain_of(F.col("_h"), F.col("_s"))).first()
     assert (row._s, row._d) == (suffix, domain)
+
+
+def test_reputation_against_brute_force(spark):
+    """Every bound by plain Python: counts, strengths by moments, means from suffix to host."""
+    import math
+    import random
+    from collections import defaultdict
+
+    r = random.Random(4)
+    hosts = [f"{a}.{b}.{c}" for a in "xyz" for b in ("one", "two", "three") for c in ("info", "co.uk", "dev")] + ["co.uk", "info"]
+    outcomes = [(f"http://{(h := r.choice(hosts))}/p", r.random() < (0.8 if "one" in h else 0.1)) for _ in range(600)] + [(None, True)] * 40 + [("http://x.one.info/", None)]
+    own = lambda h: (lambda s: (s, h if h == s else h[: -len(s) - 1].split(".")[-1] + "." + s))("co.uk" if h.endswith("co.uk") else h.split(".")[-1])
+    count = {k: defaultdict(lambda: [0, 0]) for k in "hds"}
+    for u, bad in outcomes:
+        if u and bad is not None:
+            h = u.split("/")[2]
+            s, d = own(h)
+            for k, key in (("h", h), ("d", (d, s)), ("s", s)):
+                count[k][key][0] += 1
+                count[k][key][1] += bad
+
+    def strength(c):
+        n, b, k = sum(x for x, _ in c.values()), sum(y for _, y in c.values()), len(c)
+        p, left = b / n, n - sum(x * x for x, _ in c.values()) / n
+        v = (sum(y * y / x for x, y in c.values()) - n * p * p - (k - 1) * p * (1 - p)) / left if k > 1 and left > 0 else 0
+        return max(U.WEAKEST, min(10000.0, p * (1 - p) / v - 1)) if v > 0 else 10000.0
+
+    kh, kd, ks = (strength(count[k]) for k in "hds")
+    n, b = sum(x for x, _ in count["h"].values()), sum(y for _, y in count["h"].values())
+    m0 = (b + 1) / (n + 2)
+
+    def bound(h):
+        s, d = own(h)
+        at = lambda k, key, a, prior: (count[k][key][1] + a * prior) / (count[k][key][0] + a) if key in count[k] else prior
+        ms = at("s", s, ks, m0)
+        md = at("d", (d, s), kd, ms)
+        m = at("h", h, kh, md)
+        a = count["h"][h][0] + kh if h in count["h"] else kh
+        return m - U.Z * math.sqrt(m * (1 - m) / (a + 1))
+
+    asked = hosts + ["new.one.info", "a.b.newone.dev", "other.org", "co.uk"]
+    pages = spark.createDataFrame([(i, f"http://{h}/q") for i, h in enumerate(asked)] + [(None, "http://info/" + "long" * 50_000), (90, None), (91, "nothing")], "page_id long, url string")
+    rows = U.filter_urls(pages, spark.createDataFrame(outcomes, "url string, bad boolean")).collect()
+    assert len(rows) == len(asked) + 3
+    for row in rows:
+        want = bound(row.host) if row.host else m0 - U.Z * math.sqrt(m0 * (1 - m0) / (kh + 1))
+        assert abs(row.bad_bound - want) < 1e-9 and row.verdict == ("block" if want > U.LIMIT else "allow")
