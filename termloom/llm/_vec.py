@@ -7,6 +7,7 @@ are hashed in the same way over word hashes. Two seeds give two independent hash
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; it bounds memory, not results.
 SLICE_BYTES = 4 << 20
+#: The same where many arrays are made of each word.
+SMALL_SLICE = 2 << 20
 #: Bytes or words that are hashed at a time, which bounds the tables of powers.
 STRETCH = 1 << 18
 _U = np.uint64
@@ -56,7 +59,7 @@ def _inverse(base: int) -> int:
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each slice holds about ``budget`` bytes of text, or one row."""
+    """Cut record batches so that each slice holds about ``budget`` bytes of text, or one row. Behind the last one memory that isn't used goes back to the system, as workers live on."""
     for b in batches:
         n = b.num_rows
         if not n:
@@ -68,6 +71,16 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", budget:
             stop = max(start + 1, int(np.searchsorted(cum, base + budget, "right")))
             yield b.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return what Arrow's and C's allocators hold without use (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ from ._spark import batch, table
 #: Contractions, words, numbers, other characters, and white space but for one space before a word.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\z)|\p{White_Space}+".replace(r"\z", r"\Z"))
 #: Entries that a worker process keeps of the pair table, and bytes of encoded pieces.
-PAIRS, PIECES = 250_000, 80 << 20
+PAIRS, PIECES = 250_000, 48 << 20
 
 
 def production_path() -> str:
@@ -214,7 +214,7 @@ def _valid(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode_column(path: str, keep: list[str]):
     def run(batches):
         v = vocabulary(path)
-        for b in V.text_slices(batches):
+        for b in V.text_slices(batches, budget=V.SMALL_SLICE):
             ids, offs = v.pieces.ids(b.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], [*keep, "ids"])
@@ -252,7 +252,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         v, sha = vocabulary(path), hashlib.sha256
-        for b in V.text_slices(batches):
+        for b in V.text_slices(batches, budget=V.SMALL_SLICE):
             ids, offs = v.pieces.ids(b.column("text"))
             written, at = v.decimals(ids, offs)
             mem = memoryview(written)

@@ -65,7 +65,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
 
 
 def _signatures(batches):
-    for b in V.text_slices(batches):
+    for b in V.text_slices(batches, budget=V.SMALL_SLICE):
         h, at = shingle_sets(b.column("text"))
         n = np.diff(at)
         has = np.flatnonzero(n)
@@ -141,7 +141,7 @@ def _confirm(percent: int):
 
     def run(batches):
         centre = None
-        for b in V.text_slices(batches):
+        for b in V.text_slices(batches, budget=V.SMALL_SLICE):
             h, at = shingle_sets(b.column("text"))
             roles, ok = b.column("role").to_numpy(), []
             for i in range(b.num_rows):
@@ -217,7 +217,7 @@ def _across(percent: int):
 def _count_shingles(batches):
     """(key, n): in how many sets a shingle is, summed in tasks."""
     held, size = [], 0
-    for b in V.text_slices(batches):
+    for b in V.text_slices(batches, budget=V.SMALL_SLICE):
         held.append(shingle_sets(b.column("text"))[0])
         size += len(held[-1])
         if size >= FLUSH:
@@ -249,7 +249,7 @@ def _shingle_buckets(large: DataFrame, texts: DataFrame, percent: int) -> DataFr
     often = store(counts, "near-shingles", "i8")
 
     def run(batches):
-        for b in V.text_slices(batches):
+        for b in V.text_slices(batches, budget=V.SMALL_SLICE):
             h, at = shingle_sets(b.column("text"))
             row, place = prefix_of(h, at, often.lookup(h, 1), percent)
             yield batch("band node", h[place].view(np.int64), b.column("node").take(pa.array(row)))
