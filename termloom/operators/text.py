@@ -182,12 +182,19 @@ def rule_tags(sentence: str) -> str:
     return " ".join(out)
 
 
+def parts(batches: Iterator[pd.DataFrame], rows: int = 128) -> Iterator[pd.DataFrame]:
+    """Batches in parts of so many rows, so that what is made of a part stays small."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.iloc[a : a + rows]
+
+
 def phrase_occurrences(docs: DataFrame, schema: str = "en", tagger=rule_tags) -> DataFrame:
     """(doc, sentence, start, end, term, feats): noun phrases of docs (doc, text) with their context features; Arrow batches of whole documents."""
     rules = SCHEMAS[schema]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for doc, text in zip(b["doc"], b["text"]):
                 for k, s in enumerate(re.split(r"(?<=[.?!])\s+", text or "")):
@@ -232,7 +239,7 @@ def token_rows(docs: DataFrame) -> DataFrame:
     """(doc, start, end, token) of docs (doc, text)."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             rows = [(doc, *t) for doc, text in zip(b["doc"], b["text"]) for t in tokenize(text or "")]
             yield pd.DataFrame(rows, columns=["doc", "start", "end", "token"])
 
@@ -402,7 +409,7 @@ def tagged_phrases(sentences: DataFrame, lang: str = "en", noise: frozenset[str]
     own = sentences.where(F.col("section").isin(*sections)) if sections else sentences
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in parts(batches, 4096):
             rows = []
             for doc, year, section, no, at, tokens in zip(b["doc"], b["year"], b["section"], b["sent_no"], b["sent_in_section"], b["tokens"]):
                 chart = [(t["tok"], t["tag"]) for t in (tokens if tokens is not None else ()) if t["tok"]]
