@@ -7,9 +7,10 @@ coordinate, sqrt(M^2 - |x|^2), where M is the largest norm.
 A search descends by binary search to the rows that share the longest prefix with the query in each tree, then ascends in all trees at the same
 time: one bit less, more rows. All rows met are scored exactly. It stops at the depth d where a row as near as the k-th best so far would have been met with
 probability ``TARGET``: 1 - (1 - (1 - angle / pi)^d)^TREES; so near neighbours are found after a few rows, while scattered vectors, which no index tells
-apart, cost up to the whole block. There is no cap on candidates. Blocks of queries meet runs of row blocks, and the best of each are merged.
+apart, cost up to the whole block. There is no cap on candidates. Blocks of queries meet runs of row blocks, and the best of each are merged. Within a run the best so
+far tell at which depth a further block has to be met at all: where near neighbours are known, that is a few rows of each further block.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components, or are of another length than most, take no part, neither as queries nor
+Defined cases: rows without a vec_id take no part; vectors that are null, zero, hold null or non-finite components, or are of another length than most, take no part, neither as queries nor
 candidates; rows with the query's own id are left out; of repeated ids the best row counts; ties go to the smaller id; with fewer than k candidates all are returned; an empty table
 gives an empty result. Only vec_id and embedding are read.
 """
@@ -32,7 +33,7 @@ from ._tables import _local, open_fs
 
 K, EVERY = 20, 20
 TREES, BITS, TARGET = 24, 48, 0.9
-BLOCK, RUN, QUERIES = 1 << 16, 16, 1024
+BLOCK, RUN, QUERIES = 1 << 16, 64, 1024
 #: An ascent begins where all trees together hold so many times k rows.
 START = 64
 
@@ -134,6 +135,13 @@ def met(score: np.ndarray, norm: np.ndarray, largest: float, depth: int) -> np.n
     return 1 - (1 - (1 - angle / np.pi) ** depth) ** TREES
 
 
+def enough(score: np.ndarray, norm: np.ndarray, largest: float) -> np.ndarray:
+    """The greatest depth at which a row of that inner product is met with the target's probability."""
+    angle = np.arccos(np.clip(score / (norm * largest), -1, 1))
+    least = np.log(1 - (1 - TARGET) ** (1 / TREES))
+    return np.clip(np.floor(least / np.minimum(np.log1p(-angle / np.pi * (1 - 1e-15)), -1e-300)), 0, BITS).astype(np.int64)
+
+
 def _near(s: np.ndarray, width: int, k: int, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(columns of each row's ``width`` largest values, rows in which more than these may be among the k largest within the slack)."""
     if s.shape[1] <= width:
@@ -161,6 +169,8 @@ def search_block(block: Block, ids: np.ndarray, x: np.ndarray, codes: np.ndarray
         live = live[rows < START * k]
         if not len(live):
             break
+    known = np.flatnonzero(best[1][:, k - 1] >= 0)
+    depth[known] = np.maximum(depth[known], enough(best[0][known, k - 1], norm[known], largest))
     live = np.arange(len(x))
     while len(live):  # ascend in all trees at once
         for d in np.unique(depth[live]):
@@ -235,7 +245,6 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     blocks = v.where(F.size("embedding") == dim).mapInArrow(_build(uri, dim, largest, every), "block string, n long, queries long").collect()  # one row a block
     blocks = sorted((b.block, b.n, b.queries) for b in blocks)
     runs = [blocks[a : a + RUN] for a in range(0, len(blocks), RUN)]
-    tasks = [(b, n, a, r) for b, n, q in blocks if q for a in range(0, q, QUERIES) for r in range(len(runs))]
 
     def run(batches):
         for t in batches:
@@ -250,8 +259,14 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
                 has = best[1] >= 0
                 yield batch("query_id vec_id score", np.repeat(ids, has.sum(1)), best[1][has], best[0][has])
 
-    listing = spark.createDataFrame(tasks, "block string, n long, start long, run int")
-    found = listing.repartition(max(1, min(len(tasks), 10_000)), "block", "start", "run").mapInArrow(run, schema)
+    asking = [b for b in blocks if b[2]]
+    if not asking:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    tasks = sum(-(-q // QUERIES) for *_, q in asking) * len(runs)
+    listing = spark.createDataFrame(asking, "block string, n long, queries long")  # one row a block; its tasks are made by Spark
+    listing = listing.select("block", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("queries") - 1, F.lit(QUERIES).cast("long"))).alias("start"))
+    listing = listing.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(runs) - 1))))
+    found = listing.repartition(max(1, min(tasks, 10_000)), "block", "start", "run").mapInArrow(run, schema)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

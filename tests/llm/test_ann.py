@@ -59,3 +59,20 @@ def test_ties_nulls_and_few(spark):
 def test_query(spark, sf):
     rows = A.query(spark, sf).collect()
     assert {r["rank"] for r in rows} == set(range(1, 21))
+
+
+def test_known_neighbours_bound_further_blocks():
+    """The closed form is the greatest depth at which the target's probability is reached."""
+    r = np.random.default_rng(3)
+    score, norm = r.uniform(-0.9, 0.999, 200), np.ones(200)
+    d = A.enough(score, norm, 1.0)
+    assert (A.met(score, norm, 1.0, d) >= A.TARGET - 1e-12).all()
+    deeper = d < A.BITS
+    assert (A.met(score, norm, 1.0, d + 1)[deeper] < A.TARGET).all() and (A.enough(np.array([1.0]), np.array([1.0]), 1.0) == A.BITS).all()
+
+
+def test_other_columns(spark):
+    rows = [(i, v, "x", 1.0) for i, v in enumerate(vectors(60, 8, 2))] + [(None, [1.0] * 8, "n", 2.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block string, score double")
+    got_rows = A.search(df, 5, 20).collect()
+    assert {r.query_id for r in got_rows} == {0, 20, 40} and all(r.vec_id is not None for r in got_rows)
