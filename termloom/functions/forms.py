@@ -68,7 +68,7 @@ def offsets_of(text: Column, needle: str) -> Column:
 
 def two_decimals(x: Column) -> Column:
     """Two decimals as text, ``None`` for null."""
-    return F.coalesce(F.format_string("%.2f", x), F.lit("None"))
+    return F.when(x.isNull(), "None").otherwise(F.format_string("%.2f", x))
 
 
 def lookup_score(x: Column) -> Column:

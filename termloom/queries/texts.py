@@ -52,7 +52,12 @@ def cooccurrence_tfidf(spark, d):
     return x.select("doc", "word", "tf", "df", F.round(T.tfidf(F.col("tf"), F.col("df"), F.col("n")), 6).alias("tfidf"))
 
 
-@query("dictionary_lookup_longest")
+@query("dictionary_lookup_longest", r"""with b as (select regexp_split_to_array(text, '\s+') as w from benchmark), g as (select distinct array_to_string(w[i:i + n - 1], ' ') as term from (select w, n, unnest(generate_series(1, len(w) - n + 1)) as i from b, (select unnest(generate_series(2, 10)) as n))),
+ t as (select doc_id as doc, regexp_split_to_array(text, '\s+') as w from documents), f as (select distinct array_to_string(string_split(term, ' ')[1:2], ' ') as two from g), c as (select doc, i, w[i:i + 9] as v, array_to_string(w[i:i + 1], ' ') as two from (select doc, w, unnest(generate_series(1, len(w) - 1)) as i from t)),
+ p as (select doc, i - 1 as s, i - 1 + n as e, array_to_string(v[1:n], ' ') as term from (select doc, i, v from c semi join f using (two)), (select unnest(generate_series(2, 10)) as n) where n <= len(v)),
+ h as (select doc, list([{'s': s, 'e': e, 't': term}] order by s - e, -e) as h from p semi join g using (term) group by doc),
+ k as (select doc, unnest(list_reduce(h, lambda a, x: case when len(list_filter(a, lambda k: k.s < x[1].e and x[1].s < k.e)) > 0 then a else list_concat(a, x) end)) as k from h)
+select doc, k.s::int as start, k.e::int as end, k.t as term from k""")
 def dictionary_lookup_longest(spark, d):
     """Sequences of two to ten words of the benchmark in the documents, longest first."""
     from termloom.functions import terms as T
