@@ -110,7 +110,7 @@ def words_of_terms(spark, d):
     return table(spark, d, "part").select(term.alias("term")).distinct().groupBy(F.when(F.size(F.split("term", "_")) > 1, "multi").otherwise("single").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("best_score_filter", f"with {OCC}, y as (select part, year, avg(case when part % 11 > 0 then score end) as s from occ group by all) select part as term, round(max(s), 6) as best from y group by part having coalesce(max(s), 0) >= 0.5")
+@query("best_score_filter", f"with {OCC}, y as (select part, year, avg(case when part % 11 > 0 then score end) as s from occ group by all) select part as term, round(max(s), 6) as best from y group by part having coalesce(round(max(s), 6), 0) >= 0.5")
 def best_score_filter(spark, d):
     """Terms whose best yearly score is .5 at least; terms without any score go."""
     y = occurrences(spark, d).groupBy("part", "year").agg(F.avg(F.when(F.col("part") % 11 > 0, F.col("score"))).alias("s"))
