@@ -12,7 +12,7 @@ Defined cases: a null url, or one without ``://``, has an empty host and path, f
 overall rate. Outcomes without a verdict (null) don't count; a null page id is passed through; urls of any length are read whole. Repeated rows are judged alike. An empty outcome table blocks nothing beyond the rules. Columns of the
 pages other than the url are passed through; ``host``, ``path``, ``rule``, ``verdict`` and ``bad_bound`` are ours and replace
 columns of those names. Everything is DataFrame operations: counts are aggregated before they are joined, and the one join
-against pages is salted, as one host may hold a third of them.
+against pages takes hot hosts (at most ``HOT_SHARE`` by definition) from a broadcast and shuffles the others' pages alone, as one host may hold a third of them.
 """
 
 from __future__ import annotations
@@ -51,7 +51,8 @@ RULES = (
 )
 #: Suffixes of more than one label; the last label is a suffix anyway.
 SUFFIXES = tuple(Path(__file__).with_name("suffixes.txt").read_text().split())
-SALTS = 32
+#: A host that holds more than one in so many pages is hot; there are fewer hot hosts than that.
+HOT_SHARE = 1000
 LIMIT, Z = 0.5, 1.645
 #: The least strength of a prior: a host's own few outcomes never decide alone.
 WEAKEST = 2.0
@@ -134,18 +135,21 @@ def posterior(hosts: DataFrame, outcomes: DataFrame, z: float) -> DataFrame:
     return x.select("host", (mean - z * F.sqrt(mean * (1 - mean) / (strength + 1))).alias("bad_bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, limit: float = LIMIT, z: float = Z, salts: int = SALTS) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, limit: float = LIMIT, z: float = Z, hot_share: int = HOT_SHARE) -> DataFrame:
     """Judge every page: adds host, path, rule, verdict and bad_bound.
 
     ``outcomes`` holds (url, bad boolean), one row per labelled page.
     """
-    own = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict", "bad_bound", "_salt"}]
+    own = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict", "bad_bound"}]
     host, path = host_and_path(F.col("url"))
     x = pages.select(*own, host.alias("host"), path.alias("path"))
     counts = outcomes.select(host.alias("host"), F.col("bad").cast("int").alias("bad")).where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    bounds = posterior(x.select("host").distinct(), counts, z)
-    spread = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    x = x.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int")).join(spread, ["host", "_salt"], "left").drop("_salt")
+    sizes = materialize(x.groupBy("host").agg(F.count("*").alias("_n")), "url-page-hosts")
+    bounds = materialize(posterior(sizes.select("host"), counts, z), "url-bounds")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    hot = sizes.where(F.col("_n") * hot_share > total).select("host")  # fewer than hot_share rows
+    of_hot = bounds.join(F.broadcast(hot), "host", "left_semi")
+    x = x.join(F.broadcast(of_hot), "host").unionByName(x.join(F.broadcast(hot), "host", "left_anti").join(bounds, "host", "left"))
     x = x.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bad_bound") > limit, "block").otherwise("allow"))
     return x.select(*own, "host", "path", F.col("_rule.text").alias("rule"), verdict.alias("verdict"), "bad_bound")
