@@ -8,7 +8,8 @@ says nothing lowers a passage a little. A word never seen scores the bound of th
 
 Scoring. A scan that is linear in the words finds all maximal scoring segments of a document (Ruzzo and Tompa, with links back to the nearest lower
 start). A segment of score S in a document of n words has the extreme-value statistic lambda*S - ln(K*n): lambda solves sum(p*exp(lambda*s)) = 1
-for the words of clean rows, K is the rate of segments in the clean rows of the calibration third. The document's statistic is the sum over its
+for the words of clean rows, K is the rate of segments in the clean rows of the calibration third, taken where as many segments are as count by chance (0.05 a row): the few
+clean rows that hold toxic passages, by a wrong label or in another sense, are all that lies farther out, and they don't fix K however many there are in a large table. The document's statistic is the sum over its
 significant segments, those that clean rows of that length have less than 0.05 times. An isotonic fit over all calibration rows, from a histogram of fixed bins, turns it into a probability.
 
 Defined cases: null and empty texts have no segments and get the score of that statistic (0); repeated rows count as rows; where one of the two parts has no rows of
@@ -44,8 +45,8 @@ CUT = 0.7
 _BIN, _BINS = 0.25, 400
 #: Bins of word scores and of segment statistics.
 _SCORE_BIN, _TAIL_BIN = 0.01, 0.5
-#: Weighted segments of clean rows that the tail has to hold for K.
-_TAIL = 30
+#: Weighted segments of clean rows that the tail has to hold for K: so many, and so many a row.
+_TAIL, _TAIL_SHARE = 30, math.exp(-SIGNIFICANT)
 
 #: All ASCII but letters and digits separates words here, so that punctuation doesn't hide a word.
 SEPARATORS = np.zeros(256, bool)
@@ -213,14 +214,14 @@ def _calibration(batches, labels: Table, sizes: Table, everything: bool):
 
 
 def _tails(model: Model, labels: Table, sizes: Table, everything: bool):
-    """Words (bin -1) and segments by lambda * S of clean rows, weighted."""
+    """Rows (bin -2), words (bin -1) and segments by lambda * S of clean rows, weighted."""
 
     def run(batches):
         for texts, toxic, weight in _calibration(batches, labels, sizes, everything):
             weight = np.where(toxic == 1, 0.0, weight)
             n, found = scored_segments(texts, model)
-            bins = np.array([-1, *(int(model.lam * s / _TAIL_BIN) for *_, s in found)], np.int64)
-            values = np.array([(n * weight).sum(), *(weight[i] for i, *_ in found)])
+            bins = np.array([-2, -1, *(int(model.lam * s / _TAIL_BIN) for *_, s in found)], np.int64)
+            values = np.array([weight.sum(), (n * weight).sum(), *(weight[i] for i, *_ in found)])
             u, inv = np.unique(bins, return_inverse=True)
             yield batch("bin n", u, np.bincount(inv, values))
 
@@ -252,14 +253,14 @@ def _lambda(p: np.ndarray, s: np.ndarray) -> float:
     return lo
 
 
-def tail_constant(bins: np.ndarray, n: np.ndarray) -> float:
-    """ln K: so many segments a word reach x as K * exp(-x) says, at the highest x that at least ``_TAIL`` of them reach."""
+def tail_constant(bins: np.ndarray, n: np.ndarray, least: float = _TAIL) -> float:
+    """ln K: so many segments a word reach x as K * exp(-x) says, at the highest x that at least ``least`` of them reach."""
     words = float(n[bins < 0].sum())
     order = np.argsort(-bins[bins >= 0])
     x, reached = bins[bins >= 0][order] * _TAIL_BIN, np.cumsum(n[bins >= 0][order])
     if not words or not len(x) or not reached[-1]:
         return 0.0
-    k = min(int(np.searchsorted(reached, _TAIL)), len(x) - 1)
+    k = min(int(np.searchsorted(reached, least)), len(x) - 1)
     return float(np.log(reached[k]) + x[k] - np.log(words))
 
 
@@ -303,7 +304,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float = PRIOR, z: float = Z
     tails = statistics = None
     for everything in (False, True):
         tails = rows.mapInArrow(_tails(model, known, copies, everything), "bin long, n double").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-        model = replace(model, log_k=tail_constant(tails["bin"].to_numpy(), tails["n"].to_numpy()))
+        bins, n = tails["bin"].to_numpy(), tails["n"].to_numpy()
+        model = replace(model, log_k=tail_constant(bins[bins > -2], n[bins > -2], max(_TAIL, _TAIL_SHARE * n[bins == -2].sum())))
         statistics = rows.mapInArrow(_statistics(model, known, copies, everything), "bin long, toxic long, n double").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).toPandas()
         if statistics["toxic"].nunique() == 2:
             break

@@ -148,3 +148,21 @@ def brute_best(x):
             out.append((p, q, s))
             todo += [(a, p), (q, b)]
     return out
+
+
+def test_few_wrong_labels_do_not_fix_the_tail(spark):
+    """Toxic rows labelled clean hold more long toxic segments than the tail needs; the rows of one toxic word are found all the same."""
+    r = random.Random(8)
+    rows = []
+    for i in range(9000):
+        t = [f"w{r.randrange(300)}" for _ in range(r.randrange(20, 60))]
+        kind = r.choice(["", "", "", "", "", "", "", "", "run", "one"])
+        bad = r.sample(["nasty", "vile", "awful"], {"": 0, "run": 3, "one": 1}[kind])
+        at = r.randrange(len(t))
+        rows.append((i, " ".join(t[:at] + bad + t[at:]), kind, int(kind != "" and r.random() > 0.14)))
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, *_, y in rows], "doc_id long, toxic int")
+    got = {x.doc_id: x["__score"] for x in X.score(docs, X.train(docs, labels), ["doc_id"]).collect()}
+    for kind, least in (("run", 0.98), ("one", 0.98), ("", 0.0)):
+        caught = np.mean([got[i] >= X.CUT for i, _, k, _ in rows if k == kind])
+        assert caught >= least if kind else caught <= 0.02
