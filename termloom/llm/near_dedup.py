@@ -5,7 +5,8 @@
 2. Distinct sets meet in 20 bands of 4 hashes; a pair of similarity 0.85 misses all of them with probability 4e-7, one of 0.8 with 3e-5.
 3. First each set is compared with one centre, the smallest set of its buckets. Confirmed pairs are joined to components. Only buckets that
    still hold several components are compared further, only across components. In a large one (look-alikes that share a boilerplate) sets meet again only where they share
-   one of their rarest shingles, as many as sets of the similarity have to share one of; such meetings are compared in blocks of bounded size.
+   one of their rarest shingles, as many as sets of the similarity have to share one of. Where such a shingle still brings too many together for one task, families
+   of sets that share one are compared exactly and in blocks, each pair once (``_families.py``); only links that join components are kept of these.
 4. A comparison reads the two signatures batch by batch and drops the pair once the posterior probability (uniform prior) of a similarity of
    at least the limit falls below ``miss``. Survivors are confirmed on their full shingle sets: 100 * intersection >= percent * union.
 5. Components of confirmed links; each document gets the smallest doc_id of its component.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from termloom.plans.shared import materialize
 
+from . import _families
 from . import _vec as V
 from ._spark import LOWER, UPPER, batch, row_key, table
 from ._tables import store
@@ -169,22 +171,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(percent: int):
-    """Pairs of different components in each (band, i, j) group that pass the signatures; the group's rows come together."""
+    """Pairs of different components, and not of one family, in each (band, kind) group that pass the signatures; the group's rows come together."""
 
     def group(rows: pa.Table):
-        band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
+        band = rows.column("band")[0].as_py()
         sig = _matrix(rows.column("sig").combine_chunks(), np.uint32, HASHES)
-        n, block = rows.column("n").to_numpy(), rows.column("block").to_numpy()
+        n, family = rows.column("n").to_numpy(), rows.column("family").to_numpy()
         _, label = np.unique(np.array(rows.column("label").to_pylist(), dtype=object), return_inverse=True)
         keys = band_keys(sig)
         which = np.flatnonzero((keys[0].view(np.int64) == band) & (rows.column("kind")[0].as_py() == 0))  # no band if they met by a shingle
         which = int(which[0]) if len(which) else 0
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         nodes = rows.column("node").combine_chunks()
         out_a, out_b = [], []
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[label[y] != label[x]]
+        for x in range(len(n)):
+            y = np.arange(x + 1, len(n))
+            y = y[(label[y] != label[x]) & ((family[y] != family[x]) | (family[x] == 0))]
             y = y[~(keys[y][:, :which] == keys[x][:which]).any(1)]  # the first common band alone reports a pair
             if len(y):
                 ok = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], np.full(len(y), n[x]), n[y], percent)]
@@ -199,7 +200,7 @@ def _across(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("band", "kind", "i", "j")])
+            ids = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("band", "kind")])
             cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
             for s, e in zip(cuts, cuts[1:]):
                 now = tuple(ids[:, s])
@@ -240,10 +241,10 @@ def prefix_of(h: np.ndarray, at: np.ndarray, often: np.ndarray, percent: int) ->
     return row[take], take
 
 
-def _shingle_buckets(large: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _shingle_buckets(large: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Members of buckets that are too large to compare all: they meet again by the shingles of their prefixes, the rarest first, so that what a boilerplate shares brings nobody together.
 
-    (band, node, size, label, kind): shingles as ``band`` (kind 1) in which several components meet."""
+    (band, node, size, label, kind): shingles as ``band`` (kind 1) in which several components meet; (band, node): those of them that are too large again."""
     own = texts.join(large, "node", "left_semi")
     counts = own.mapInArrow(_count_shingles, "key long, n long").groupBy("key").agg(F.sum("n").alias("value")).where("value > 1")
     often = store(counts, "near-shingles", "i8")
@@ -256,7 +257,9 @@ def _shingle_buckets(large: DataFrame, texts: DataFrame, percent: int) -> DataFr
 
     met = materialize(own.mapInArrow(run, "band long, node binary").join(large, "node"), "near-prefixes")
     several = met.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "size")
-    return met.join(several, "band").select("band", "node", "size", "label", F.lit(1).alias("kind"))
+    several = materialize(several, "near-several")
+    hot = met.join(several.where(F.col("size") > BLOCK), "band").select("band", "node")
+    return met.join(several.where(F.col("size") <= BLOCK), "band").select("band", "node", "size", "label", F.lit(1).alias("kind")), materialize(hot, "near-hot")
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -283,15 +286,19 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     open_ = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
     left = tagged.join(open_, "band", "left_semi").select("band", "node", "size", "label", F.lit(0).alias("kind"))
     large = materialize(left.where(F.col("size") > BLOCK).select("node", "label").distinct(), "near-large")
-    by_shingle = _shingle_buckets(large, texts, percent)
+    by_shingle, hot = _shingle_buckets(large, texts, percent)
     left = left.where(F.col("size") <= BLOCK).unionByName(by_shingle).join(nodes.select("node", "n", "sig"), "node")
-    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    left = left.repartition("band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j", "node")
-    pairs = materialize(left.select("band", "kind", "i", "j", "block", "node", "label", "n", "sig").mapInArrow(_across(percent), "a binary, b binary"), "near-pairs")
+    families = None if hot.isEmpty() else materialize(_families.named(hot), "near-families")
+    if families is None:
+        left = left.withColumn("family", F.lit(0).cast("long"))
+    else:  # compared as a whole
+        left = left.join(families, "node", "left").withColumn("family", F.coalesce("family", F.lit(0).cast("long")))
+    left = left.repartition("band", "kind").sortWithinPartitions("band", "kind", "node")
+    pairs = materialize(left.select("band", "kind", "node", "label", "n", "sig", "family").mapInArrow(_across(percent), "a binary, b binary"), "near-pairs")
     second = materialize(confirm(pairs.distinct(), texts, percent), "near-links")
     confirmed = first.union(second)
+    if families is not None:
+        confirmed = confirmed.union(materialize(_families.links(families, nodes, large, texts, percent, shingle_sets), "near-links"))
     return rows, nodes, connected_components(confirmed), confirmed
 
 

@@ -129,3 +129,36 @@ def test_batch_thresholds_keep_similar_pairs():
     miss = sum(comb(80, s) * 0.85**s * 0.15 ** (80 - s) for s in range(N.thresholds(85)[-1]))
     assert miss < 1e-4
     assert N.thresholds(85) == tuple(sorted(N.thresholds(85)))
+
+
+def test_family_of_many_common_shingles(spark, monkeypatch):
+    """Texts of paragraphs from one set, so that no shingle of a text is rare: every pair counts, and of their many links those that join are kept."""
+    rnd = random.Random(11)
+    parts = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(24)]
+    docs = [(v, " ".join(p for p in parts if rnd.random() < 0.9)) for v in range(160)]
+    docs += [(1000 + v, t + f" own{v} " + " ".join(f"x{v}y{i}" for i in range(rnd.randrange(90)))) for v, t in docs[:40]]
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N._families, "ROWS", 32)
+    want = brute(docs, 80)
+    assert got(spark, docs, 80) == want
+    assert len({c for _, _, c, _ in want}) > 2
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert N.links(df, 80)[3].count() < 6 * len(docs)
+
+
+def test_similar_sets_of_two_blocks(monkeypatch):
+    """The matrix of similar sets against Python's sets, with shingles in products of several parts and in lists."""
+    import numpy as np
+
+    rnd = random.Random(12)
+    sides = []
+    for _ in "ab":
+        sets = [set(rnd.sample(range(1, 60), rnd.randrange(20, 50))) | {1000 + rnd.randrange(200) for _ in range(rnd.randrange(4))} for _ in range(40)]
+        sets[3:6] = [set(range(1, 40)), set(range(1, 49)), set(range(1, 51))]
+        sides.append(sets)
+    blocks = [(np.array([x for s in sets for x in sorted(s)], np.uint64), np.cumsum([0, *map(len, sets)])) for sets in sides]
+    want = [[100 * len(x & y) >= 80 * len(x | y) for y in sides[1]] for x in sides[0]]
+    for listed, columns, pairs in ((0, 7, 50), (40, 16, 50), (10_000, 16, 50)):
+        for k, v in (("LISTED", listed), ("COLUMNS", columns), ("PAIRS", pairs)):
+            monkeypatch.setattr(N._families, k, v)
+        assert N._families.similar(*blocks[0], *blocks[1], 80).tolist() == want
