@@ -47,8 +47,10 @@ def patent_parts(name: Column) -> Column:
 
 
 def patent_path(number: Column) -> Column:
-    """Two directories that hold at most a hundred patents: the year, letters or two digits, and the rest without its last two digits."""
-    head = F.when(number.rlike("^(19|20)"), 4).when(number.rlike("^[A-Za-z]{2}"), 2).when(number.rlike("^[A-Za-z]"), 1).otherwise(2)
+    """Two directories that hold at most a hundred patents: the year, letters or two digits, and the rest without its last two digits.
+
+    Applications alone begin with a year, and have more than eight digits; patents 1,900,000 to 2,099,999 don't."""
+    head = F.when(number.rlike(r"^(19|20)\d{7}"), 4).when(number.rlike("^[A-Za-z]{2}"), 2).when(number.rlike("^[A-Za-z]"), 1).otherwise(2)
     return F.concat_ws("/", F.left(number, head), F.substring(number, head + 1, F.greatest(F.length(number) - head - 2, F.lit(0))))
 
 

@@ -15,3 +15,8 @@ def test_offsets_of_long_texts_take_one_search(spark):
     assert got == {1: [400_000, 400_002], 2: [], 3: [], 4: [], 5: [0, 2, 6]} and time.time() - start < 30
     twice = rows.where("k = 2").select(forms.offsets_of(F.col("text"), "aa").alias("at")).first()
     assert list(twice["at"]) == [0, 1]
+
+
+def test_seven_digits_hold_no_year(spark):
+    rows = spark.createDataFrame([("1900012",), ("2099999",), ("201900012",), ("20050123456",), ("0012345",), ("PP0012345",)], "n string")
+    assert [r.p for r in rows.select(forms.patent_path(F.col("n")).alias("p")).collect()] == ["19/000", "20/999", "2019/000", "2005/01234", "00/123", "PP/00123"]
