@@ -114,8 +114,9 @@ def check_counts(available: DataFrame, processed: DataFrame, limit: int) -> None
 
 
 def archive_index(rows: DataFrame) -> DataFrame:
-    """archive, n, first and last place of items in archives; rows (archive, item, place)."""
-    return rows.groupBy("archive").agg(F.count("*").alias("n"), F.min_by("item", "place").alias("first"), F.max_by("item", "place").alias("last"))
+    """archive, n, first and last item of archives by their place; rows (archive, item, place, at). Of items of one place the first by ``at`` counts, at both ends."""
+    first = lambda place: F.min_by("item", F.when(place.isNotNull(), F.struct(place, "at")))
+    return rows.groupBy("archive").agg(F.count("*").alias("n"), first(F.col("place")).alias("first"), first(-F.col("place")).alias("last"))
 
 
 def profiled(df: DataFrame) -> dict:

@@ -13,7 +13,7 @@ from termloom.plans.corpus import archive_index
 from termloom.sources import reports as H
 from termloom.sources import repository as R
 
-from .views import OCC, occurrences
+from .views import OCC, occurrences, placed
 
 
 @query("terms_by_sql", f"with {OCC}, t as (select term, count(*) as frequency, avg(score) as technology_score from occ group by term) select term, frequency from t where technology_score > 0.5")
@@ -53,7 +53,7 @@ def id_statistics(spark, d):
 @query("archive_index", "select l_orderkey as archive, count(*) as n, arg_min(l_partkey, l_linenumber * 1000000 + l_partkey) as first, arg_max(l_partkey, l_linenumber * 1000000 + l_partkey) as last from lineitem group by l_orderkey")
 def archive_items(spark, d):
     place = F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")
-    return archive_index(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("archive"), F.col("l_partkey").alias("item"), place.alias("place")))
+    return archive_index(placed(spark, d, "lineitem").select(F.col("l_orderkey").alias("archive"), F.col("l_partkey").alias("item"), place.alias("place"), "at"))
 
 
 _LEXICON = [("small", "V", "smallen"), ("hot", "V", "heat"), ("gears", "N", "gear"), ("rods", "N", "rodlet"), ("reds", "N", "red")]

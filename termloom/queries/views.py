@@ -14,9 +14,16 @@ COUNTS = OCC + ", counts as (select term, year, count(distinct doc) as n from oc
 SIZES = "sizes as (select year, count(distinct doc) as n_docs from occ group by all)"
 
 
-def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with the place ``at`` of each row in it: file, and row of the file."""
+    t = table(spark, sf_dir, name)
+    return t.select(*t.columns, F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
+
+
+def occurrences(spark: SparkSession, sf_dir: str, at: bool = False) -> DataFrame:
+    """Line items with their parts; ``at``: with the line item's place in its table."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_discount", "l_linestatus", "l_returnflag", "l_shipdate")
+    line = (placed if at else table)(spark, sf_dir, "lineitem").select(*["at"] * at, "l_orderkey", "l_partkey", "l_linenumber", "l_discount", "l_linestatus", "l_returnflag", "l_shipdate")
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("doc"),
         F.year("l_shipdate").alias("year"),
@@ -28,6 +35,7 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_discount") * 10).alias("score"),
         F.col("l_returnflag").alias("flag"),
         F.col("l_partkey").alias("part"),
+        *["at"] * at,
     )
 
 

@@ -42,3 +42,10 @@ def test_parts_from_a_million_on_reach_into_the_next_line(spark, tmp_path):
     both = _star(spark, tmp_path, [(1, 1_500_001, 1, 0.1, "A", 1996), (1, 400_000, 2, 0.1, "N", 1996)], [(1_500_001, "red bolt"), (400_000, "red bolt")])
     got, want = both("adjusted_evaluation")
     assert got == want == [("A", "t", 1)]
+
+
+def test_items_of_one_place_go_by_their_order_in_the_table(spark, tmp_path):
+    one, two = (1, 1_300_000, 1, 0.0, "A", 1996), (1, 300_000, 2, 0.0, "A", 1996)
+    both = _star(spark, tmp_path, [one, two, *[(2, *x[1:]) for x in (two, one)]], [(0, "red bolt")])
+    got, want = both("archive_index")
+    assert got == want == [(1, 2, 1_300_000, 1_300_000), (2, 2, 300_000, 300_000)]
