@@ -119,6 +119,17 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) ->
     return ranked.join(before, condition).select(*[ranked[c] for c in rows.columns], (F.col("_k") + F.col("_before")).alias(name))
 
 
+def means_in_order(rows: DataFrame, key: str, scores: dict[str, Column]) -> DataFrame:
+    """(key, n, means) of scores, summed in the order of the rows' place ``at``, so that the last digits of a sum, and what a limit decides by them, don't depend on partitions.
+
+    Sums run along the sorted rows of a key; no key's rows are collected."""
+    order = Window.partitionBy(key).orderBy("at")
+    sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = rows.select(key, "at", *[c.alias(a) for a, c in scores.items()])
+    x = x.select(key, F.count("*").over(sofar).alias("n"), *[(F.sum(a).over(sofar) / F.nullif(F.count(a).over(sofar), F.lit(0))).alias(a) for a in scores], F.lead(F.lit(1)).over(order).isNull().alias("_last"))
+    return x.where("_last").drop("_last")
+
+
 def appearance_rank(rows: DataFrame, first: str) -> DataFrame:
     """Rows with ``early``: 1 for the first to appear, falling evenly to 1/n for the last."""
     n = F.broadcast(rows.agg(F.count("*").alias("_all")))  # one row

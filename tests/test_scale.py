@@ -1,9 +1,11 @@
 """Steps whose cost or result changes with the size of the tables."""
 
+import random
 import time
 
 import duckdb
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from termloom import catalog
@@ -29,7 +31,7 @@ def _star(spark, path, lines, parts):
     """Line items (order, part, line, discount, flag, year) in their order, one file, and parts (key, name); the rest of the columns is made up."""
     line = pd.DataFrame(lines, columns=["l_orderkey", "l_partkey", "l_linenumber", "l_discount", "l_returnflag", "year"]).assign(l_suppkey=0, l_linestatus="F")
     line["l_shipdate"] = pd.to_datetime(line.pop("year").astype(str) + "-06-01").astype("datetime64[us]")
-    line.astype({"l_linenumber": "int32"}).to_parquet(f"{path}/lineitem.parquet")
+    line.astype({"l_linenumber": "int32"}).to_parquet(f"{path}/lineitem.parquet", row_group_size=2000)
     pd.DataFrame(parts, columns=["p_partkey", "p_name"]).assign(p_brand="Brand#1", p_type="SMALL").to_parquet(f"{path}/part.parquet")
     con = duckdb.connect()
     con.execute("set threads = 1")
@@ -49,3 +51,28 @@ def test_items_of_one_place_go_by_their_order_in_the_table(spark, tmp_path):
     both = _star(spark, tmp_path, [one, two, *[(2, *x[1:]) for x in (two, one)]], [(0, "red bolt")])
     got, want = both("archive_index")
     assert got == want == [(1, 2, 1_300_000, 1_300_000), (2, 2, 300_000, 300_000)]
+
+
+def _spread(spark, path):
+    """Line items of 400 parts in several row groups, where means of parts (and of documents) lie on the limits of queries but for their last digits."""
+    r, lines = random.Random(5), []
+    for p in range(400):
+        half = [r.randrange(11) for _ in range(12)]
+        tenths = [*half, *[10 - x for x in half]] if p % 2 else [1, 2, 3] * 4 + [5, 7] * 6
+        years = [1998] * 24 if p % 2 else [1996] * 12 + [2000] * 12
+        lines += [(r.randrange(2000), p, 1, t / 100, "A", y) for t, y in zip(tenths, years)]
+    r.shuffle(lines)
+    return _star(spark, path, lines, [(p, "red bolt") for p in range(400)])
+
+
+@pytest.mark.parametrize("name", ["cat_filter", "dense_usage_distribution", "score_histogram", "trend_predicate"])
+def test_means_do_not_depend_on_partitions(spark, tmp_path, name):
+    """The SQL on one thread sums in the table's order; so does the query, however many tasks read the table."""
+    both = _spread(spark, tmp_path)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        got, want = both(name)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == want and want
