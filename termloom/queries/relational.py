@@ -237,6 +237,6 @@ def offset_limit(spark, d):
 
 @query("dense_usage_distribution", f"with {OCC}, s as (select doc, avg(score) as s from occ group by doc) select case when s = 0 then -1 else {_RIGHT} end as bin, count(*) as n from s group by 1")
 def dense_usage_distribution(spark, d):
-    """Eleven bins: zero apart, the rest right-closed."""
-    s = occurrences(spark, d).groupBy("doc").agg(F.avg("score").alias("s"))
+    """Eleven bins: zero apart, the rest right-closed; means are summed in the table's order."""
+    s = S.means_in_order(occurrences(spark, d, at=True), "doc", {"s": F.col("score")})
     return s.groupBy(F.when(F.col("s") == 0, -1).otherwise(T.bin_right_closed(F.col("s"))).alias("bin")).agg(F.count("*").alias("n"))
