@@ -172,7 +172,8 @@ def weighted_maturity_rollup(spark, d):
 
 @query("score_histogram", f"""with {OCC}, s as (select doc, avg(score) as s from occ group by doc) select least(floor(s * 10), 9)::bigint as bin, count(*) as n from s group by 1""")
 def score_histogram(spark, d):
-    s = occurrences(spark, d).groupBy("doc").agg(F.avg("score").alias("s"))
+    """Means are summed in the table's order."""
+    s = S.means_in_order(occurrences(spark, d, at=True), "doc", {"s": F.col("score")})
     return s.groupBy(F.least(F.floor(F.col("s") * 10), F.lit(9)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
