@@ -66,11 +66,16 @@ def ancestors(heads: Column, node: Column, depth: int) -> Column:
 
 def dependency_path(heads: Column, a: Column, b: Column, depth: int = 40) -> Column:
     """Tokens on the way from a to b in a dependency tree: up to their lowest common head and down again; null in different trees."""
-    up, down = ancestors(heads, a, depth), ancestors(heads, b, depth)
-    top = F.get(F.array_intersect(up, down), F.lit(0))
-    left = F.slice(up, F.lit(1), F.array_position(up, top).cast("int"))
-    right = F.slice(down, F.lit(1), F.greatest(F.array_position(down, top).cast("int") - 1, F.lit(0)))
-    return F.when(top.isNotNull(), F.concat(left, F.reverse(right)))
+
+    def path(up: Column, down: Column, top: Column) -> Column:
+        left = F.slice(up, F.lit(1), F.array_position(up, top).cast("int"))
+        right = F.slice(down, F.lit(1), F.greatest(F.array_position(down, top).cast("int") - 1, F.lit(0)))
+        return F.when(top.isNotNull(), F.concat(left, F.reverse(right)))
+
+    # arrays of one element, so that the two chains and where they meet are found once a row, not wherever they are named
+    ways = F.array(F.struct(ancestors(heads, a, depth).alias("up"), ancestors(heads, b, depth).alias("down")))
+    met = F.transform(ways, lambda w: F.struct(w["up"].alias("up"), w["down"].alias("down"), F.get(F.array_intersect(w["up"], w["down"]), F.lit(0)).alias("top")))
+    return F.get(F.transform(met, lambda w: path(w["up"], w["down"], w["top"])), F.lit(0))
 
 
 def nearest_left(values: Column, tags: Column, at: Column, prefix: str) -> Column:
