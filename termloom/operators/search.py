@@ -63,8 +63,11 @@ def marked_matches(rows: DataFrame, field: str, word: str) -> DataFrame:
 
 def personalised_ranks(edges: DataFrame, positive: DataFrame, negative: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, n, p, b, x, diff, ratio) of four runs: restarts at negative seeds, at positive ones, at both, and anywhere; differences as of score lists."""
+    from termloom.plans.shared import materialize
+
     from .graph import page_rank
 
+    edges, positive, negative = (materialize(x, "rank-input") for x in (edges, positive, negative))  # each of them is read by several runs
     runs = {"n": negative, "p": positive, "b": positive.union(negative), "x": None}
     out = None
     for name, seeds in runs.items():
