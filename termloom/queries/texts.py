@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from termloom.catalog import query, table
@@ -45,10 +46,11 @@ select doc, word, tf, df, round(tf * log2(floor(n / (df + 1))), 6) as tfidf from
 def cooccurrence_tfidf(spark, d):
     from termloom.functions import terms as T
 
-    f = _docs(spark, d).select("doc", F.explode("tokens").alias("word")).groupBy("doc", "word").agg(F.count("*").alias("tf"))
-    df = f.groupBy("word").agg(F.count("*").alias("df"))
+    # one shuffle, by the word: counts of a document's words, and of a word's documents, are both made in the word's partition
+    words = _docs(spark, d).select("doc", F.explode("tokens").alias("word")).where("word is not null").repartition("word")
+    f = words.groupBy("doc", "word").agg(F.count("*").alias("tf")).withColumn("df", F.count("*").over(Window.partitionBy("word")))
     n = F.broadcast(table(spark, d, "documents").agg(F.count("*").alias("n")))  # one row
-    x = f.join(df, "word").crossJoin(n).where("n / (df + 1) >= 1")
+    x = f.crossJoin(n).where("n / (df + 1) >= 1")
     return x.select("doc", "word", "tf", "df", F.round(T.tfidf(F.col("tf"), F.col("df"), F.col("n")), 6).alias("tfidf"))
 
 
